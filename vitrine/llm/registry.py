@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.canonical import map_to_canonical, not_exact, typed_values
 from vitrine.llm.common import latest_per_key
+from vitrine.llm.mixture import mix
 from vitrine.llm.terms import mark_terms, term_frequencies, term_rows, text_terms
 from vitrine.llm.topn import top_n_per_group
 from vitrine.runtime import table
@@ -81,3 +83,40 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_frequencies(spark: SparkSession, d: str) -> DataFrame:
     """Every term with both counts."""
     return _marked(spark, d)
+
+
+# ---------------------------------------------------------------- problem 1
+def _canonical(spark: SparkSession, d: str) -> DataFrame:
+    ref = table(spark, d, "ref_values")
+    values = not_exact(typed_values(listings(spark, d), ["brand", "category"]), ref)
+    return map_to_canonical(values, ref)
+
+
+@query("p1_found")
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return _canonical(spark, d).select("id", "field", "ref_id")
+
+
+@query("p1_unmatched")
+def p1_unmatched(spark: SparkSession, d: str) -> DataFrame:
+    """The report of values no entry was found for, with their number of listings."""
+    return _canonical(spark, d).where("ref_id = -1").groupBy("field", "value").agg(F.count(F.lit(1)).alias("listings"))
+
+
+# ---------------------------------------------------------------- problem 8
+@query("p8_found")
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    _, report = mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return report.where("short").select("source")
+
+
+@query("p8_report")
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    """Target and actual share of every source of the mix."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@query("p8_copies")
+def p8_copies(spark: SparkSession, d: str) -> DataFrame:
+    """How often each document is taken."""
+    return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
