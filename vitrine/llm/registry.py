@@ -9,6 +9,7 @@ from vitrine.llm.canonical import map_to_canonical, not_exact, typed_values
 from vitrine.llm.common import latest_per_key
 from vitrine.llm.mixture import mix
 from vitrine.llm.terms import mark_terms, term_frequencies, term_rows, text_terms
+from vitrine.llm.together import session_baskets, surprise, surprising_pairs
 from vitrine.llm.topn import top_n_per_group
 from vitrine.runtime import table
 
@@ -120,3 +121,43 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
 def p8_copies(spark: SparkSession, d: str) -> DataFrame:
     """How often each document is taken."""
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+# ---------------------------------------------------------------- problem 5
+_P5 = """
+WITH ev AS (SELECT session_id AS s, upper(trim(e.product_id)) AS m FROM (SELECT session_id, unnest(events) AS e FROM demo_sessions WHERE session_id IS NOT NULL)),
+mem AS (SELECT DISTINCT s, m FROM ev WHERE m <> ''),
+cnt AS (SELECT m, count(*) AS n FROM mem GROUP BY m),
+tot AS (SELECT count(DISTINCT s) AS n FROM mem),
+pr AS (SELECT x.m AS a, y.m AS b, count(*) AS n_ab FROM mem x JOIN mem y ON x.s = y.s AND x.m < y.m
+  WHERE x.m IN (SELECT m FROM cnt WHERE n >= {k}) AND y.m IN (SELECT m FROM cnt WHERE n >= {k}) GROUP BY ALL)
+SELECT {cols} FROM pr JOIN cnt ca ON ca.m = a JOIN cnt cb ON cb.m = b, tot
+WHERE n_ab >= {k} {more}
+"""
+
+
+def _members(spark: SparkSession, d: str) -> DataFrame:
+    return session_baskets(table(spark, d, "demo_sessions"))
+
+
+@query("p5_found", _P5.format(k=6, cols="a AS product_a, b AS product_b", more="AND n_ab * tot.n >= 5 * ca.n * cb.n"))
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    scored = surprise(_members(spark, d), min_count=6)
+    often = F.col("n_ab") * F.col("n_baskets") >= 5 * F.col("n_a") * F.col("n_b")
+    return scored.where(often).select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"))
+
+
+@query(
+    "p5_counts",
+    _P5.format(k=2, cols="a AS product_a, b AS product_b, ca.n AS n_a, cb.n AS n_b, n_ab, round(n_ab * tot.n / (ca.n::double * cb.n), 6) AS lift", more=""),
+)
+def p5_counts(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair in two sessions or more with its counts and lift."""
+    scored = surprise(_members(spark, d), min_count=2)
+    return scored.select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"))
+
+
+@query("p5_surprising")
+def p5_surprising(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs more common than chance at a false discovery rate of 5 %."""
+    return surprising_pairs(_members(spark, d))
