@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.llm.abuse import abuse_scores, rates_by_source
 from vitrine.llm.canonical import map_to_canonical, not_exact, typed_values
 from vitrine.llm.common import latest_per_key
+from vitrine.llm.leakage import leaked, without_leaks
 from vitrine.llm.mixture import mix
 from vitrine.llm.terms import mark_terms, term_frequencies, term_rows, text_terms
 from vitrine.llm.together import session_baskets, surprise, surprising_pairs
@@ -161,3 +163,40 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
 def p5_surprising(spark: SparkSession, d: str) -> DataFrame:
     """Pairs more common than chance at a false discovery rate of 5 %."""
     return surprising_pairs(_members(spark, d))
+
+
+# ---------------------------------------------------------------- problem 7
+@query("p7_found")
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+@query("p7_matches")
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Leaks with coverage and the longest verbatim match."""
+    return leaked(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query("p7_clean")
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """The documents left when the affected ones are removed."""
+    docs = table(spark, d, "documents")
+    return without_leaks(docs, leaked(docs, table(spark, d, "eval_items"))).select("doc_id")
+
+
+# ---------------------------------------------------------------- problem 9
+@query("p9_found")
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return abuse_scores(table(spark, d, "documents")).where("n_hits > 0").select("doc_id")
+
+
+@query("p9_scores")
+def p9_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with its scores."""
+    return abuse_scores(table(spark, d, "documents"))
+
+
+@query("p9_rates")
+def p9_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Rates per source."""
+    return rates_by_source(abuse_scores(table(spark, d, "documents")))
