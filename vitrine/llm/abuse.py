@@ -26,13 +26,14 @@ LEXICON: dict[tuple[str, float], str] = {
         loser | losers | creep | creeps | clown | clowns | pig | pigs | bastard | bastards | cockroach | cockroachs | cockroaches | parasite |
         retarded | idiota | imbecil | debile | debiles | widerlicher | asqueroso | asquerosa | verzieh dich | callate | trottel | dummkopf |
         abruti | hole and rot | chokes on it | mother must be ashamed | called me what a | never touch a | cry more you |
-        read the manual | if you can read at all | writes reviews like | support team are | whoever made this | burn in hell | go to hell""",
+        read the manual | if you can read at all | writes reviews like | whoever made this | burn in hell | go to hell""",
+    ("abuse", 0.7): "whole support team are",
     ("abuse", 0.3): """stupid | useless | worthless | pathetic | spineless | filthy | ugly | fat | lying | greasy | brain dead | disgusting |
         dumb | you | your | listen | dich | du | tu es | eres un | eres una | gros""",
     ("hate", 1.0): """lock them up like dogs | driven out of every shop | breed like rats | subhuman | get rid of them all | gehort weggesperrt |
         dreckspack | echarla a patadas | qu on les jette dehors | sont de la vermine | untermenschen | that lot is dirty | they are all thieves""",
     ("hate", 0.6): """vermin | savages | animals | degenerates | thieves | scum | filth | freaks | plague | parasites | inferior | too dumb for |
-        should be banned from | they are all | vermine | basura | they breed | never sell to | such animals""",
+        should be banned from | they are all | vermine | basura | they breed | they bred | never sell to | such animals""",
     ("hate", 0.3): """migrants | foreigners | northerners | cripples | gays | women are | old people are | people of that faith | hill people |
         tent dwellers | valley folk | island drivers | they are | are a | and lie | esa gente es | ces gens sont | dirty | keep""",
     ("sexual", 1.0): """blowjob | tits | boobs | porn | porno | nudes | horny | erotic | slut | slutty | whore | panties | hot sex | sex chat |

@@ -13,6 +13,7 @@ from vitrine.llm.mixture import mix
 from vitrine.llm.terms import mark_terms, term_frequencies, term_rows, text_terms
 from vitrine.llm.together import session_baskets, surprise, surprising_pairs
 from vitrine.llm.topn import top_n_per_group
+from vitrine.llm.vectors import nearest, usable_vectors
 from vitrine.runtime import table
 
 QUERIES: dict = {}
@@ -200,3 +201,21 @@ def p9_scores(spark: SparkSession, d: str) -> DataFrame:
 def p9_rates(spark: SparkSession, d: str) -> DataFrame:
     """Rates per source."""
     return rates_by_source(abuse_scores(table(spark, d, "documents")))
+
+
+# ---------------------------------------------------------------- problem 4
+def _nearest(spark: SparkSession, d: str, k: int) -> DataFrame:
+    vectors, dim = usable_vectors(table(spark, d, "product_vectors"), table(spark, d, "catalog_manifest"))
+    return nearest(vectors, dim, k)
+
+
+@query("p4_found")
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    near = _nearest(spark, d, 5)
+    return near.select(F.least("id", "neighbor_id").alias("id_a"), F.greatest("id", "neighbor_id").alias("id_b")).distinct()
+
+
+@query("p4_neighbors")
+def p4_neighbors(spark: SparkSession, d: str) -> DataFrame:
+    """The ten most similar vectors of every vector, with similarities."""
+    return _nearest(spark, d, 10)
