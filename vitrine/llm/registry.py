@@ -9,6 +9,7 @@ from vitrine.llm.abuse import abuse_scores, rates_by_source
 from vitrine.llm.canonical import map_to_canonical, not_exact, typed_values
 from vitrine.llm.common import latest_per_key
 from vitrine.llm.leakage import leaked, without_leaks
+from vitrine.llm.listing_match import item_pairs, same_items
 from vitrine.llm.mixture import mix
 from vitrine.llm.terms import mark_terms, term_frequencies, term_rows, text_terms
 from vitrine.llm.together import session_baskets, surprise, surprising_pairs
@@ -219,3 +220,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 def p4_neighbors(spark: SparkSession, d: str) -> DataFrame:
     """The ten most similar vectors of every vector, with similarities."""
     return _nearest(spark, d, 10)
+
+
+# ---------------------------------------------------------------- problem 6
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return same_items(listings(spark, d), table(spark, d, "ref_values").where("field = 'brand'"))
+
+
+@query("p6_found")
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return item_pairs(_items(spark, d))
+
+
+@query("p6_groups")
+def p6_groups(spark: SparkSession, d: str) -> DataFrame:
+    """Every listing with the item it belongs to."""
+    return _items(spark, d)
