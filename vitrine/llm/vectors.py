@@ -175,7 +175,7 @@ def _best(dim: int, k: int):
         vec, ids = unpack(pdf["vec"], dim), pdf["id"].to_numpy()
         m_rows, q_rows = np.flatnonzero(is_member), np.flatnonzero(is_query)
         if not len(m_rows) or not len(q_rows):
-            return pd.DataFrame({"id": [], "near": []})
+            return pd.DataFrame({"id": [], "near": []}, dtype=object)
         m, m_ids = vec[m_rows], ids[m_rows]
         out_ids, out = [], []
         take = min(k + 1, len(m))  # the query itself may be among them
