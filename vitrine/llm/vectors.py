@@ -30,9 +30,9 @@ class Search:
 
     member_ratio: float = 1.1
     replicas: int = 3
-    query_ratio: float = 1.5
-    probes: int = 12
-    beam: int = 24
+    query_ratio: float = 1.6
+    probes: int = 16
+    beam: int = 32
 
 
 def usable_vectors(vectors: DataFrame, manifest: DataFrame) -> tuple[DataFrame, int]:
