@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 from vitrine.config import RETRIEVAL_WEIGHT, RankingConfig, Strategy, Weights
 from vitrine.operators import catalog as C
 from vitrine.operators import retrieval as R
+from vitrine.runtime import cut
 
 #: The parts of a score, in the order in which they are reported.
 COMPONENTS = ["retrieval", "popularity", "category_match", "tag_match", "brand_match", "freshness", "similarity", "cooccurrence", "repetition_penalty"]
@@ -44,7 +45,7 @@ def with_profile(rows: DataFrame, profiles: DataFrame | None) -> DataFrame:
 
 
 def score(candidates: DataFrame, catalog: DataFrame, weights: Weights, profiles: DataFrame | None = None) -> DataFrame:
-    """``(q, id, pool_pos, score, components...)`` of candidates ``(q, id, pool_pos[, retrieval, similarity, cooccurrence])``.
+    """``(q, id, pool_pos, score, components...)`` of candidates ``(q, id, pool_pos[, retrieval, similarity, cooccurrence, matches])``.
 
     Candidates outside the catalogue drop out.  The penalty is reported as a positive
     amount and taken off the score."""
@@ -52,8 +53,12 @@ def score(candidates: DataFrame, catalog: DataFrame, weights: Weights, profiles:
         if c not in candidates.columns:
             candidates = candidates.withColumn(c, F.lit(0.0))
     facts = catalog.select("id", "category", "tags", "brand", "popularity_score", "freshness_score")
-    rows = with_profile(candidates.join(facts, "id"), profiles)
-    match = _affinity_parts()
+    rows = candidates.join(facts, "id")
+    if "tag_match" in candidates.columns:  # the pool brought them along
+        match = {c: F.col(c) for c in ("category_match", "tag_match", "brand_match")}
+        rows = rows.join(profiles.select("q", "recent"), "q", "left")
+    else:
+        rows, match = with_profile(rows, profiles), _affinity_parts()
     parts = {
         "retrieval": F.col("retrieval"),
         "popularity": weights.popularity * F.col("popularity_score"),
@@ -83,36 +88,34 @@ def page(scored: DataFrame, limit: int) -> DataFrame:
 
 
 def affinity_matches(catalog: DataFrame, profiles: DataFrame, weights: Weights) -> DataFrame:
-    """``(q, id, ord)`` of all products with a positive affinity.
+    """``(q, id, ord, category_match, tag_match, brand_match)`` of all products with a positive affinity.
 
     A product matches through its category, a tag or its brand, so matches come from
-    joins on those keys and no request meets the whole catalogue."""
-    entry = lambda kind, key: F.struct(F.lit(kind).alias("kind"), key.alias("key"))
-    wanted = None
-    for kind, w in (("category", weights.category), ("tag", weights.tag), ("brand", weights.brand)):
-        if w > 0:
-            rows = profiles.select("q", F.lit(kind).alias("kind"), F.explode(F.col(kind)).alias("key", "value")).where("value > 0").drop("value")
-            wanted = rows if wanted is None else wanted.unionByName(rows)
-    if wanted is None:
-        return catalog.select(F.lit(None).cast("string").alias("q"), "id", "ord").limit(0)
-    keys = F.concat(
-        F.array(entry("category", F.col("category"))), F.transform(F.array_distinct("tags"), lambda t: entry("tag", t)), F.array(entry("brand", F.col("brand")))
-    )
-    offered = catalog.select("id", "ord", F.explode(keys).alias("k")).select("id", "ord", "k.kind", "k.key").where("kind <> 'brand' OR key <> ''")
-    return wanted.join(offered, ["kind", "key"]).select("q", "id", "ord").distinct()
+    joins on those keys and no request meets the whole catalogue; summing what the keys
+    of a product are worth gives its match at the same time."""
+    used = [kind for kind, w in (("category", weights.category), ("tag", weights.tag), ("brand", weights.brand)) if w > 0]
+    pairs = lambda kind: F.transform(F.map_entries(kind), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("value")))
+    entries = F.concat(*map(pairs, used)) if used else F.array().cast("array<struct<kind:string,key:string,value:double>>")
+    wanted = profiles.select("q", F.explode(entries).alias("e")).select("q", "e.kind", "e.key", "e.value").where("value > 0")
+    entry = lambda kind, key, share: F.struct(F.lit(kind).alias("kind"), key.alias("key"), share.alias("share"))
+    one, each = F.lit(1.0), 1.0 / F.greatest(F.size("tags"), F.lit(1))
+    # A tag a product has twice counts twice, as it does in the mean.
+    keys = F.concat(F.array(entry("category", F.col("category"), one)), F.transform("tags", lambda t: entry("tag", t, each)), F.array(entry("brand", F.col("brand"), one)))
+    offered = catalog.select("id", "ord", F.explode(keys).alias("k")).select("id", "ord", "k.kind", "k.key", "k.share").where("kind <> 'brand' OR key <> ''")
+    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("value") * F.col("share")).otherwise(0.0)).alias(f"{kind}_match")
+    return wanted.join(offered, ["kind", "key"]).groupBy("q", "id", "ord").agg(part("category"), part("tag"), part("brand"))
 
 
 def affinity_pool(requests: DataFrame, catalog: DataFrame, profiles: DataFrame, limit: int, weights: Weights) -> DataFrame:
-    """``(q, id, pool_pos)``: all matches where there are ``limit`` or more, else these and
+    """``(q, id, pool_pos, matches...)``: all matches where there are ``limit`` or more, else these and
     the most popular products behind them; the latter alone for requests without a profile."""
-    matches = affinity_matches(catalog, profiles, weights)
-    counts = matches.groupBy("q").agg(F.count(F.lit(1)).alias("n"))
-    few = requests.select("q").join(counts.where(F.col("n") >= limit), "q", "left_anti")
-    top = F.broadcast(C.top_by(catalog, "popularity_score", 5 * limit).select("id", F.col("pos").cast("long").alias("pos")))  # 5 * limit rows
-    filled = few.join(top)
-    return C.first_per_key([matches.select("q", "id", F.col("ord").alias("pos")), filled.select("q", "id", "pos")], "id", ["q"]).select(
-        "q", "id", F.struct("stage", "pos").alias("pool_pos")
-    )
+    matches = cut(affinity_matches(catalog, profiles, weights))  # read three times below
+    enough = matches.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
+    few = requests.select("q").join(enough, "q", "left_anti")
+    top = F.broadcast(C.top_by(catalog, "popularity_score", 5 * limit).select("id", (F.col("pos") + F.lit(1 << 40)).alias("pool_pos")))  # 5 * limit rows
+    filled = few.join(top).join(matches.select("q", "id"), ["q", "id"], "left_anti")
+    none = {c: F.lit(0.0) for c in ("category_match", "tag_match", "brand_match")}
+    return matches.withColumnRenamed("ord", "pool_pos").unionByName(filled.withColumns(none))
 
 
 def fixed_pool(requests: DataFrame, catalog: DataFrame, by: str, limit: int) -> DataFrame:
@@ -163,6 +166,7 @@ def recommend(
     elif profiles is None:
         pool = fixed_pool(requests, catalog, "popularity_score", limit)
     else:
+        profiles = cut(profiles)
         pool = affinity_pool(requests, catalog, profiles, limit, chosen.weights)
     return page(score(pool, catalog, chosen.weights, profiles), limit)
 
