@@ -44,7 +44,7 @@ def token_counts(documents: DataFrame, text: str = "text", ranks: str = DEFAULT_
 
 
 def normal_source(c):
-    return F.lower(F.trim(c))
+    return F.lower(F.btrim(c, F.lit(" \t\r\n")))
 
 
 @dataclass

@@ -129,7 +129,7 @@ def p8_copies(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- problem 5
 _P5 = """
-WITH ev AS (SELECT session_id AS s, upper(trim(e.product_id)) AS m FROM (SELECT session_id, unnest(events) AS e FROM demo_sessions WHERE session_id IS NOT NULL)),
+WITH ev AS (SELECT session_id AS s, upper(trim(e.product_id, ' ' || chr(9) || chr(10) || chr(13))) AS m FROM (SELECT session_id, unnest(events) AS e FROM demo_sessions WHERE session_id IS NOT NULL)),
 mem AS (SELECT DISTINCT s, m FROM ev WHERE m <> ''),
 cnt AS (SELECT m, count(*) AS n FROM mem GROUP BY m),
 tot AS (SELECT count(DISTINCT s) AS n FROM mem),

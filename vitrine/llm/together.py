@@ -54,7 +54,7 @@ def baskets(events: DataFrame, basket: str, item) -> DataFrame:
 def session_baskets(sessions: DataFrame) -> DataFrame:
     """``(s, m)`` of a session log: all lines of one session are one basket; products are trimmed and upper-cased."""
     rows = sessions.where("session_id is not null").select("session_id", F.explode("events").alias("e"))
-    return baskets(rows, "session_id", F.upper(F.trim(F.col("e.product_id"))))
+    return baskets(rows, "session_id", F.upper(F.btrim(F.col("e.product_id"), F.lit(" \t\r\n"))))
 
 
 def pair_counts(members: DataFrame, min_count: int = 1) -> DataFrame:
