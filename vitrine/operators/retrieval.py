@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from vitrine.config import COSINE_FLOOR, RRF_K
 from vitrine.functions import scalars as S
+from vitrine.runtime import collect_bounded
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -82,7 +83,9 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Fal
 
     The queries go to the tasks in blocks of at most ``block``; each task multiplies its
     rows with a block and keeps its best ``k``, so what moves is k rows per query and task."""
-    asked = [(r["q"], list(r["embedding"])) for r in queries.select("q", "embedding").orderBy("q").toLocalIterator()]
+    columns = queries.select("q", "embedding")
+    few = collect_bounded(columns, block)  # one job; more queries than a block come partition by partition
+    asked = sorted((r["q"], list(r["embedding"])) for r in (few if few is not None else columns.toLocalIterator(prefetchPartitions=True)))
     kinds = dict(vectors.dtypes)
     schema = f"q {dict(queries.dtypes)['q']}, doc {kinds['doc']}, ord long, score double"
     rows = vectors.select("doc", F.col("ord").cast("long").alias("ord"), "embedding")
