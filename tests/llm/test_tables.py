@@ -37,7 +37,7 @@ def test_canonical_values(spark, field, value, want):
 
 def test_canonical_edges(spark):
     long = "x" * 200_000 + " Acme Works"
-    rows = [("a", "brand", None), ("b", "brand", "  "), ("c", None, "Acme"), ("d", "brand", long), ("e", "brand", "Acme"), ("e", "brand", "Acme"), (None, "brand", "Acme")]
+    rows = [("a", "brand", None), ("b", "brand", "  "), ("b", "brand", "\t\u00a0\n"), ("c", None, "Acme"), ("d", "brand", long), ("e", "brand", "Acme"), ("e", "brand", "Acme"), (None, "brand", "Acme")]
     df = spark.createDataFrame(rows, "id string, field string, value string")
     got = Counter((r["id"], r["ref_id"]) for r in map_to_canonical(df, ref(spark)).collect())
     assert got == Counter({("d", 1): 1, ("e", 1): 2, (None, 1): 1})

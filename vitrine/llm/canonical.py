@@ -174,7 +174,7 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8
     their aliases; a field without entries is unmatched.  Texts of any length are
     searched whole; repeated rows come out as often as they went in."""
     rows = values.select(F.col("id").cast("string").alias("id"), F.col("field").cast("string").alias("field"), F.col("value").cast("string").alias("value")).where(
-        F.col("field").isNotNull() & (F.trim("value") != "") & F.col("value").rlike(r"\P{Z}")
+        F.col("field").isNotNull() & F.col("value").rlike(r"[^\p{Z}\s]")
     )
     schema = "id string, field string, value string, ref_id int, likeness double, method string"
     ref = reference.select("ref_id", "field", "name", "aliases").where("ref_id is not null and field is not null").orderBy("ref_id")
