@@ -7,6 +7,7 @@ import random
 import numpy as np
 import pytest
 
+from vitrine.llm import registry
 from vitrine.llm.listing_facts import Reader, measures
 from vitrine.llm.listing_match import components, item_pairs, same_items
 from vitrine.llm.together import fit_null, pair_counts, pairs_of_sets, session_baskets, surprise, surprising_pairs, upper_tail
@@ -142,6 +143,17 @@ def test_surprise_finds_the_planted_pair(spark):
     assert got == [("planted1", "planted2")]
 
 
+def test_pairs_of_one_session_count(spark, tmp_path):
+    couples = [(f"A{i:02d}", f"B{i:02d}") for i in range(30)]
+    sets = couples * 100 + [("X", "Y")]
+    rows = [(k, f"s{k}", [(m, "view") for m in ms], "z") for k, ms in enumerate(sets)]
+    spark.createDataFrame(rows, SESSIONS).write.parquet(str(tmp_path / "demo_sessions.parquet"))
+    got = {(r["product_a"], r["product_b"]): r["n_ab"] for r in registry.QUERIES["p5_pairs"](spark, str(tmp_path)).collect()}
+    assert got == {p: 100 for p in couples} | {("X", "Y"): 1}
+    found = {(r["item_a"], r["item_b"]) for r in registry.QUERIES["p5_surprising"](spark, str(tmp_path)).collect()}
+    assert found == set(got)
+
+
 LISTING = "id string, title string, description string, brand string, subcategories array<string>, attributes map<string,string>, item string"
 MAKERS = [(1, "Acme Works", ["ACWX"]), (2, "Bolt & Sons", None)]
 

@@ -12,7 +12,7 @@ from vitrine.llm.leakage import leaked, without_leaks
 from vitrine.llm.listing_match import item_pairs, same_items
 from vitrine.llm.mixture import mix
 from vitrine.llm.terms import mark_terms, term_frequencies, term_rows, text_terms
-from vitrine.llm.together import session_baskets, surprise, surprising_pairs
+from vitrine.llm.together import lift, pair_counts, session_baskets, surprise, surprising_pairs
 from vitrine.llm.topn import top_n_per_group
 from vitrine.llm.vectors import nearest, usable_vectors
 from vitrine.runtime import table
@@ -161,10 +161,20 @@ def p5_counts(spark: SparkSession, d: str) -> DataFrame:
     return scored.select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), "n_a", "n_b", "n_ab", F.round("lift", 6).alias("lift"))
 
 
+@query(
+    "p5_pairs",
+    _P5.format(k=1, cols="a AS product_a, b AS product_b, ca.n AS n_a, cb.n AS n_b, n_ab, round(n_ab * tot.n / (ca.n::double * cb.n), 6) AS lift", more=""),
+)
+def p5_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair of products, also those in one session, with its counts and lift."""
+    counts = pair_counts(_members(spark, d))
+    return counts.select(F.col("item_a").alias("product_a"), F.col("item_b").alias("product_b"), "n_a", "n_b", "n_ab", F.round(lift(), 6).alias("lift"))
+
+
 @query("p5_surprising")
 def p5_surprising(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs more common than chance at a false discovery rate of 5 %."""
-    return surprising_pairs(_members(spark, d))
+    """Pairs more common than chance at a false discovery rate of 5 %, of all pairs in any session."""
+    return surprising_pairs(_members(spark, d), min_count=1)
 
 
 # ---------------------------------------------------------------- problem 7

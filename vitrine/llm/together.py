@@ -76,6 +76,11 @@ def pair_counts(members: DataFrame, min_count: int = 1) -> DataFrame:
     )
 
 
+def lift():
+    """How many times more common a pair of ``pair_counts`` is than by chance."""
+    return F.col("n_ab") * F.col("n_baskets").cast("double") / (F.col("n_a").cast("double") * F.col("n_b"))
+
+
 def degree_class(n):
     """Number of the class of a degree: at most some 2,000 classes at any size of the data."""
     wide = F.floor(F.log(n / F.lit(float(EXACT_DEGREES))) / F.lit(float(np.log(CLASS_WIDTH)))) + EXACT_DEGREES + 1
@@ -188,8 +193,7 @@ def surprise(members: DataFrame, min_count: int = 1) -> DataFrame:
     ready = pairs.withColumns({"c_a": degree_class(F.col("n_a")), "c_b": degree_class(F.col("n_b"))})
     schema = "item_a string, item_b string, n_a long, n_b long, n_ab long, n_baskets long, expected double, p_value double"
     tails = ready.mapInPandas(_tails(dict(zip(ic, x.tolist())), y, b_num), schema)
-    lift = F.col("n_ab") * F.col("n_baskets").cast("double") / (F.col("n_a").cast("double") * F.col("n_b"))
-    return tails.withColumn("lift", lift)
+    return tails.withColumn("lift", lift())
 
 
 def false_discovery_cutoff(scored: DataFrame, tests: float, rate: float = 0.05, rounds: int = 100) -> float:
@@ -207,8 +211,11 @@ def false_discovery_cutoff(scored: DataFrame, tests: float, rate: float = 0.05,
     return t
 
 
-def surprising_pairs(members: DataFrame, min_count: int = 2, rate: float = 0.05) -> DataFrame:
-    """The pairs more common than chance with at most ``rate`` false discoveries, among all pairs of items."""
+def surprising_pairs(members: DataFrame, min_count: int = 1, rate: float = 0.05) -> DataFrame:
+    """The pairs more common than chance with at most ``rate`` false discoveries, among all pairs of items.
+
+    All pairs of items count as tests; those never seen have a p-value of 1, so with
+    ``min_count`` 1 every pair takes part."""
     members = cut(members)
     scored = cut(surprise(members, min_count))
     items = members.agg(F.count_distinct("m")).first()[0]
