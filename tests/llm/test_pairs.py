@@ -189,6 +189,19 @@ def test_same_items(spark):
     assert same_items(df.limit(0), makers).count() == 0
 
 
+def test_large_blocks_lose_no_pairs(spark):
+    d = "Part of the Zorbo line. Made with lid by Acme Works."
+    at = ["black", "red", "blue", "green", "pink", "teal"]
+    rows = [(f"p{c}{k}", f"Zorbo gas burner {c} {size}", d, "Acme Works", None, None) for c in at for k, size in enumerate(["10 oz", "284 g", "500 g"])]
+    rows += [("x1", "Zorbo gas burner gold 10 oz ABC1234", d, "Acme Works", None, None), ("x2", "Gas burner gold 284 g ABC1234", None, "Acme Works", None, None),
+             ("x3", "Zorbo Extra gas burner ABC1234", None, "Acme Works", None, None)]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], LISTING)
+    makers = spark.createDataFrame(MAKERS, "ref_id int, name string, aliases array<string>")
+    want = {f"p{c}{k}": f"p{c}{0 if k < 2 else k}" for c in at for k in range(3)} | {"x1": "x1", "x2": "x1", "x3": "x1"}
+    for large in (500, 4, 1):
+        assert {r["id"]: r["item"] for r in same_items(df, makers, large=large).collect()} == want
+
+
 def test_components_of_a_chain(spark):
     n = 60
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(n)] + [("x", "y")], "a string, b string")

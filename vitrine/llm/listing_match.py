@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +11,7 @@ from vitrine.llm.listing_facts import FACTS, read_all
 from vitrine.llm.together import pairs_of_sets
 from vitrine.runtime import MAX_BROADCAST_ROWS, collect_bounded, cut
 
-#: Different listings of one block beyond which the block is split by the other facts.
+#: Different listings of one block beyond which the block is split into cells by the other facts.
 LARGE_BLOCK = 500
 #: Amounts nearer than this share of the larger one are the same size in other units.
 SAME_AMOUNT = 0.015
@@ -37,43 +39,61 @@ def _snapped(amount):
 
 
 def _blocks(nodes: DataFrame) -> DataFrame:
-    """``(block, node, fine, words)``: the blocks of a listing by its rare tokens.
+    """``(block, node, cells)``: the blocks of a listing by its rare tokens.
 
-    Code; line with type; maker with type, size and colour."""
+    Code; line with type; maker with type, size and colour.  Two listings of a block that
+    ``verified`` joins share one of its ``cells``: without a common code they agree in
+    size, colour, pack and generation, and amounts ``SAME_AMOUNT`` apart lie in the same
+    or in neighbouring steps; with one, in pack and generation.  Listings of a line that
+    don't state size or colour join by their code only and have no cell there."""
     text = lambda *c: F.concat_ws("|", *c)
+    none = F.array().cast("array<string>")
     kind, fine = F.coalesce("kind", F.lit("")), text(F.coalesce("size", F.lit("")), F.coalesce(F.col("amount").cast("string"), F.lit("")), F.coalesce("colour", F.lit("")), "pack", "gen")
     keys = F.concat(
-        F.when(F.col("code").isNotNull(), F.array(text(F.lit("c"), "code"))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("code").isNotNull(), F.array(text(F.lit("c"), "code"))).otherwise(none),
         F.transform("lines", lambda x: F.concat_ws("|", F.lit("l"), x, kind)),
-        F.when(F.col("maker").isNotNull(), F.array(text(F.lit("m"), "maker", kind, fine))).otherwise(F.array().cast("array<string>")),
+        F.when(F.col("maker").isNotNull(), F.array(text(F.lit("m"), "maker", kind, fine))).otherwise(none),
     )
-    return nodes.select("node", fine.alias("fine"), F.array_join("lines", " ").alias("words"), F.explode(F.array_distinct(keys)).alias("block"))
-
-
-def candidate_edges(nodes: DataFrame, large: int = LARGE_BLOCK) -> DataFrame:
-    """``(a, b, weight)``: listings that share a block, weighted by how rare the shared blocks are.
-
-    A block of more than ``large`` listings is split by size, colour, pack and generation,
-    in which listings of one item agree; where one of them isn't stated only an equal
-    code can join two listings, and blocks of codes are split by line instead.  Blocks of
-    makers only add weight, so large ones are left out."""
+    # A little wider than the tolerance, so that rounding can't part two amounts.
+    step = F.floor(F.log("amount") / F.lit(-log(1 - SAME_AMOUNT) * (1 + 1e-6)))
+    steps = F.when(F.col("amount") > 0, F.array(step.cast("string"), (step + 1).cast("string"))).otherwise(F.array(F.lit("")))
+    by_facts = F.when(F.col("size").isNull() | F.col("colour").isNull(), none).otherwise(F.transform(steps, lambda x: F.concat_ws("|", "size", x, "colour", "pack", "gen")))
+    rows = nodes.select("node", by_facts.alias("by_facts"), text("pack", "gen").alias("by_count"), F.explode(F.array_distinct(keys)).alias("block"))
+    return rows.select("block", "node", F.when(F.col("block").startswith("c|"), F.array("by_count")).otherwise(F.col("by_facts")).alias("cells"))
+
+
+def candidate_edges(nodes: DataFrame, large: int = LARGE_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``(a, b, weight)`` and ``(node)``: listings that share a block, weighted by how rare
+    the shared blocks are, and the listings of blocks of more than ``large``.
+
+    Such a block is split into cells, overlapping and no finer than ``verified``, so no
+    pair that it joins is lost; however big a cell is, ``pairs_of_sets`` spreads it.  Their
+    edges have no weight, as the light ones of the block aren't made and the mean of the
+    others says nothing; large blocks of makers would only add weight and are left out."""
     blocks = cut(_blocks(nodes))
     sizes = blocks.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     n = nodes.agg(F.count(F.lit(1)))
     # Only blocks of two or more make edges.
-    marked = blocks.join(sizes.where("n > 1"), "block").where((F.col("n") <= large) | ~F.col("block").startswith("m|"))
-    by = F.when(F.col("block").startswith("c|"), F.col("words")).otherwise(F.col("fine"))
-    final = marked.select(F.when(F.col("n") <= large, F.col("block")).otherwise(F.concat_ws("|", "block", by)).alias("s"), F.col("node").alias("m"), "n")
+    marked = blocks.join(sizes.where("n > 1"), "block")
     weight = F.log1p(F.lit(1.0) * n.scalar() / F.col("n"))
-    rarity = final.groupBy("s").agg(F.max("n").alias("n")).select("s", weight.alias("w"))
-    pairs = pairs_of_sets(final.select("s", "m").distinct()).join(rarity, "s")
-    return pairs.groupBy("a", "b").agg(F.sum("w").alias("weight"))
+    whole = marked.where(F.col("n") <= large).select(F.col("block").alias("s"), F.col("node").alias("m"), "n")
+    split = marked.where((F.col("n") > large) & ~F.col("block").startswith("m|")).select(F.explode("cells").alias("cell"), "block", F.col("node").alias("m"))
+    parts = split.select(F.concat_ws("|", "block", "cell").alias("s"), "m")
+    rarity = whole.groupBy("s").agg(F.max("n").alias("n")).select("s", weight.alias("w"))
+    light = pairs_of_sets(whole.select("s", "m")).join(rarity, "s").select("a", "b", "w")
+    heavy = pairs_of_sets(parts).select("a", "b", F.lit(0.0).alias("w"))
+    edges = light.unionByName(heavy).groupBy("a", "b").agg(F.sum("w").alias("weight"))
+    return edges, marked.where(F.col("n") > large).select("node").distinct()
+
 
+def pruned(edges: DataFrame, crowded: DataFrame, share: float = 0.5) -> DataFrame:
+    """Edges that weigh at least ``share`` of the mean edge of one of their two listings.
 
-def pruned(edges: DataFrame, share: float = 0.5) -> DataFrame:
-    """Edges that weigh at least ``share`` of the mean edge of one of their two listings."""
+    All edges of the listings ``crowded(node)`` stay: their light edges weren't all made,
+    so their mean is too high."""
     ends = edges.select(F.col("a").alias("node"), "weight").unionByName(edges.select(F.col("b").alias("node"), "weight"))
-    least = ends.groupBy("node").agg((F.avg("weight") * share).alias("least"))
+    mean = ends.groupBy("node").agg((F.avg("weight") * share).alias("mean"))
+    least = mean.join(crowded.withColumn("all", F.lit(True)), "node", "left").select("node", F.when(F.col("all"), F.lit(0.0)).otherwise(F.col("mean")).alias("least"))
     return (
         edges.join(least.withColumnsRenamed({"node": "a", "least": "la"}), "a")
         .join(least.withColumnsRenamed({"node": "b", "least": "lb"}), "b")
@@ -143,7 +163,8 @@ def same_items(listings: DataFrame, makers: DataFrame, large: int = LARGE_BLOCK)
     key = F.when(bare & F.col("code").isNull(), F.concat(F.lit("id "), "id")).otherwise(F.to_json(F.struct(*columns)))
     keyed = cut(facts.withColumn("key", key))
     nodes = cut(keyed.groupBy("key", *columns).agg(F.min("id").alias("node")))
-    edges = cut(verified(pruned(cut(candidate_edges(nodes, large))), nodes))
+    edges, crowded = candidate_edges(nodes, large)
+    edges = cut(verified(pruned(cut(edges), cut(crowded)), nodes))
     clusters = components(edges)
     named = nodes.select("key", "node").join(clusters, "node", "left").select("key", F.coalesce("cluster", "node").alias("item"))
     return keyed.select("id", "key").join(named, "key").select("id", "item")
