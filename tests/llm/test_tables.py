@@ -93,6 +93,15 @@ def test_top_n(spark, cells):
         top_n_per_group(df, 0)
 
 
+def test_longest_mention_wins_across_blocks(spark):
+    names = spark.createDataFrame([(1, "brand", "Foo", None), (2, "brand", "Zorbo", ["Foo Indoor"]), (3, "brand", "Foo Outdoor Gear", None), (4, "brand", "Quuxa", None)], "ref_id int, field string, name string, aliases array<string>")
+    texts = ["Foo Outdoor Gear", "the foo shop", "Foo Indoor", "Quuxa Zorbo", "Zorbo Quuxa", "Quuxxa", "nothing"]
+    values = spark.createDataFrame([(str(i), "brand", v) for i, v in enumerate(texts)] * 2, "id string, field string, value string")
+    got = [sorted(map(tuple, map_to_canonical(values, names, block=b).collect())) for b in (1, 2, 100)]
+    assert got[0] == got[1] == got[2]
+    assert [r[3] for r in got[0][::2]] == [3, 1, 2, 4, 2, 4, -1]
+
+
 def test_terms(spark):
     rows = [(1, "Red  red, LAMP!", ["a", " A ", None]), (2, None, None), (3, "lamp – (x)", []), (4, "", ["b"]), (5, "!!!", ["a"]), (None, "red", ["a"])]
     df = spark.createDataFrame(rows, "id int, title string, tags array<string>")

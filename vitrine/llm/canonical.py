@@ -7,12 +7,13 @@ import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.runtime import MAX_BROADCAST_ROWS
+from vitrine.runtime import MAX_BROADCAST_ROWS, cut
 
 #: Words that sellers put around a name and that are no part of one (fixed values).
 NOISE = frozenset("a an and by brand co company corp gmbh inc llc ltd limited n of official sa store the visit und y".split())
@@ -82,34 +83,35 @@ class Matcher:
 
     def match(self, value: str) -> tuple[int, float, str]:
         """(ref_id or -1, likeness, method)."""
+        return self.ranked(value)[:3]
+
+    def ranked(self, value: str) -> tuple[int, float, str, int, int]:
+        """``match`` with the length and start of the mention, by which answers of several lists are compared."""
         if not self.forms:
-            return -1, 0.0, "none"
+            return -1, 0.0, "none", 0, 0
         tokens = name_tokens(value)
         kept = [t for t in tokens if t not in NOISE] or tokens
-        mention = self._mention(kept)
+        mention = self.mention(kept)
         if mention is not None:
-            return mention, 1.0, "mention"
-        return self._alike(kept)
+            length, start, ref = mention
+            return ref, 1.0, "mention", length, start
+        return *self._alike(kept), 0, 0
 
-    def _mention(self, tokens: list[str]) -> int | None:
-        """The longest of the non-overlapping names found from word start to word end."""
+    def mention(self, tokens: list[str]) -> tuple[int, int, int] | None:
+        """(length, start, ref_id) of the longest name found from word start to word end, of several the first."""
+        if not self.forms:
+            return None
         text, starts, ends = "".join(tokens), set(), set()
         at = 0
         for t in tokens:
             starts.add(at)
             at += len(t)
             ends.add(at)
-        found = []
-        for end, (length, ref) in self.automaton.iter(text):
-            if end + 1 - length in starts and end + 1 in ends:
-                found.append((-length, end + 1 - length, ref))
-        taken: list[tuple[int, int]] = []
-        kept = []
-        for length, start, ref in sorted(found):
-            if all(start - length <= a or start >= b for a, b in taken):
-                taken.append((start, start - length))
-                kept.append((length, start, ref))
-        return min(kept)[2] if kept else None
+        found = [(-length, end + 1 - length, ref) for end, (length, ref) in self.automaton.iter(text) if end + 1 - length in starts and end + 1 in ends]
+        if not found:
+            return None
+        length, start, ref = min(found)
+        return -length, start, ref
 
     def _alike(self, tokens: list[str]) -> tuple[int, float, str]:
         """Token-set likeness: words joined in the given and in sorted order, compared by edits."""
@@ -135,7 +137,7 @@ class Matcher:
 def _mapper(entries: dict[str, list[tuple[int, str]]], least: float, memory: int):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matchers = {f: Matcher(e, least) for f, e in entries.items()}
-        known: dict[tuple[str, str], tuple[int, float, str]] = {}
+        known: dict[tuple[str, str], tuple[int, float, str, int, int]] = {}
         for pdf in batches:
             if len(known) > memory:  # only a cache of results, so it may be emptied at any time
                 known.clear()
@@ -143,18 +145,36 @@ def _mapper(entries: dict[str, list[tuple[int, str]]], least: float, memory: int
             for key in zip(pdf["field"], pdf["value"]):
                 if key not in known:
                     m = matchers.get(key[0])
-                    known[key] = m.match(key[1]) if m else (-1, 0.0, "none")
+                    known[key] = m.ranked(key[1]) if m else (-1, 0.0, "none", 0, 0)
                 out.append(known[key])
-            refs, alike, method = zip(*out) if out else ((), (), ())
+            refs, alike, method, length, start = zip(*out) if out else ((), (), (), (), ())
             yield pdf.assign(
                 ref_id=pd.Series(refs, index=pdf.index, dtype="int32"),
                 likeness=pd.Series(alike, index=pdf.index, dtype="float64"),
                 method=pd.Series(method, index=pdf.index, dtype="object"),
+                length=pd.Series(length, index=pdf.index, dtype="int32"),
+                start=pd.Series(start, index=pdf.index, dtype="int32"),
             )
 
     return run
 
 
+def reference_blocks(reference: DataFrame, block: int) -> list[dict[str, list[tuple[int, str]]]]:
+    """Names and aliases by field of about ``block`` entries each; the rows of one ``ref_id`` stay together."""
+    ref = reference.select("ref_id", "field", "name", "aliases").where("ref_id is not null and field is not null").orderBy("ref_id")
+    blocks: list[dict[str, list[tuple[int, str]]]] = [defaultdict(list)]
+    n, last = 0, None
+    for r in ref.toLocalIterator():
+        if n >= block and r["ref_id"] != last:
+            blocks.append(defaultdict(list))
+            n = 0
+        n, last = n + 1, r["ref_id"]
+        for name in [r["name"], *(r["aliases"] or [])]:
+            if name and name.strip():
+                blocks[-1][r["field"]].append((r["ref_id"], name))
+    return [dict(b) for b in blocks]
+
+
 def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8, block: int = MAX_BROADCAST_ROWS, memory: int = 200_000) -> DataFrame:
     """``values(id, field, value)`` plus ``ref_id, likeness, method``.
 
@@ -168,7 +188,7 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8
 
     No shuffle: each task maps its own rows, remembering the values it has seen.  The
     list goes to the tasks in blocks of ``block`` entries; of several blocks' answers
-    the best counts, which costs one pass and one aggregation.
+    the best by the same rules counts, which costs one pass a block and one aggregation.
 
     Null or blank values and null fields give no row.  Entries without a name count by
     their aliases; a field without entries is unmatched.  Texts of any length are
@@ -176,27 +196,17 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8
     rows = values.select(F.col("id").cast("string").alias("id"), F.col("field").cast("string").alias("field"), F.col("value").cast("string").alias("value")).where(
         F.col("field").isNotNull() & F.col("value").rlike(r"[^\p{Z}\s]")
     )
-    schema = "id string, field string, value string, ref_id int, likeness double, method string"
-    ref = reference.select("ref_id", "field", "name", "aliases").where("ref_id is not null and field is not null").orderBy("ref_id")
-    blocks: list[dict[str, list[tuple[int, str]]]] = [defaultdict(list)]
-    for k, r in enumerate(ref.toLocalIterator()):
-        if k and k % block == 0:
-            blocks.append(defaultdict(list))
-        for name in [r["name"], *(r["aliases"] or [])]:
-            if name and name.strip():
-                blocks[-1][r["field"]].append((r["ref_id"], name))
-    parts = [rows.mapInPandas(_mapper(dict(b), least, memory), schema) for b in blocks]
-    if len(parts) == 1:
-        return parts[0]
-    # Rows are told apart by a number of their own, so repeated ones stay.
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
-    both = None
-    for b in blocks:
-        run = _mapper(dict(b), least, memory)
-        part = rows.mapInPandas(run, schema.replace("ref_id int", "row long, ref_id int"))
-        both = part if both is None else both.unionByName(part)
-    rank = F.struct((F.col("method") == "mention").alias("m"), F.col("likeness").alias("l"), (-F.col("ref_id")).alias("r"), F.col("method").alias("how"))
-    best = both.groupBy("row", "id", "field", "value").agg(F.max(rank).alias("b"))
+    schema = "id string, field string, value string, ref_id int, likeness double, method string, length int, start int"
+    blocks = reference_blocks(reference, block)
+    if len(blocks) == 1:
+        return rows.mapInPandas(_mapper(blocks[0], least, memory), schema).drop("length", "start")
+    # Rows are told apart by a number of their own, so repeated ones stay; kept, so that every block sees the same.
+    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
+    parts = [rows.mapInPandas(_mapper(b, least, memory), "row long, " + schema) for b in blocks]
+    rank = F.struct(
+        (F.col("method") == "mention").alias("m"), F.col("length").alias("n"), (-F.col("start")).alias("s"), F.col("likeness").alias("l"), (-F.col("ref_id")).alias("r"), F.col("method").alias("how")
+    )
+    best = reduce(DataFrame.unionByName, parts).groupBy("row", "id", "field", "value").agg(F.max(rank).alias("b"))
     return best.select("id", "field", "value", (-F.col("b.r")).alias("ref_id"), F.col("b.l").alias("likeness"), F.col("b.how").alias("method"))
 
 

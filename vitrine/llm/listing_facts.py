@@ -108,9 +108,9 @@ class Reader:
                 return f"r{ref}", set(tokens)
         for text in (title, description):
             words = name_tokens(text)
-            ref = self.known._mention(words)
-            if ref is not None:
-                return f"r{ref}", set(tokens)
+            found = self.known.mention(words)
+            if found is not None:
+                return f"r{found[2]}", set(tokens)
         named = _MAKER.search(description)
         if named:
             text = next(g for g in named.groups() if g)
