@@ -9,7 +9,7 @@ import pytest
 
 from vitrine.llm import registry
 from vitrine.llm.listing_facts import Reader, measures
-from vitrine.llm.listing_match import components, item_pairs, same_items
+from vitrine.llm.listing_match import components, facts_of, item_pairs, same_items
 from vitrine.llm.together import fit_null, pair_counts, pairs_of_sets, session_baskets, surprise, surprising_pairs, upper_tail
 from vitrine.llm.vectors import CentroidGraph, Search, balanced_centroids, nearest, usable_vectors
 
@@ -202,6 +202,21 @@ def test_large_blocks_lose_no_pairs(spark):
         assert {r["id"]: r["item"] for r in same_items(df, makers, large=large).collect()} == want
 
 
+def test_makers_beyond_one_block(spark):
+    made = "Part of the Zorbo line. Made with lid by {}."
+    rows = [
+        ("a", "Zorbo gas burner black 900 g", None, "Acme Works", None, None), ("b", "Zorbo gas burner black 900 g", None, "ACWX", None, None), ("c", "Zorbo gas burner black 900 g", None, "acmewroks", None, None),
+        ("d", "Acme Works Outdoor Zorbo gas burner black 900 g", None, None, None, None), ("e", "Zorbo gas burner black 900 g", made.format("Bolt & Sons"), "", None, {"color": "black"}),
+        ("f", "Zorbo gas burner red 900 g Acme Works", "x", "generic", None, None), ("g", None, None, None, None, None),
+    ]
+    df = spark.createDataFrame([(*r, "clash") for r in rows], LISTING)
+    makers = spark.createDataFrame([*MAKERS, (3, "Acme Works Outdoor", ["AWO"]), (4, "Acme", None)], "ref_id int, name string, aliases array<string>")
+    whole = {r["id"]: r for r in facts_of(df, makers).collect()}
+    assert [whole[i]["maker"] for i in "abcdefg"] == ["r1", "r1", "r1", "r3", "r2", "r1", None]
+    for known in (1, 3):
+        assert {r["id"]: r for r in facts_of(df, makers, known=known).collect()} == whole
+
+
 def test_components_of_a_chain(spark):
     n = 60
     edges = spark.createDataFrame([(f"n{i:03d}", f"n{i + 1:03d}") for i in range(n)] + [("x", "y")], "a string, b string")

@@ -85,6 +85,16 @@ def measures(text: str) -> list[tuple[str, float]]:
     return out
 
 
+def texts_of(title, description, brand) -> tuple[str, str, str]:
+    return title or "", _TAG.sub(" ", description or ""), brand or ""
+
+
+def named_maker(description: str) -> str | None:
+    """The maker as a description names it."""
+    named = _MAKER.search(description)
+    return next(g for g in named.groups() if g) if named else None
+
+
 class Reader:
     """Facts of listings; ``entries`` are the known makers."""
 
@@ -99,23 +109,32 @@ class Reader:
         for ref, name in entries:
             self._names.setdefault(f"r{ref}", set()).update(name_tokens(name))
 
+    def look(self, role: str, text: str) -> int:
+        """ref_id of the known maker a text gives, or -1: brands and named makers by likeness too, titles and descriptions by mentions."""
+        return self.answer(role, text)[0]
+
+    def answer(self, role: str, text: str) -> tuple[int, float, str, int, int]:
+        """``look`` with what answers of several lists are compared by."""
+        if role in ("brand", "named"):
+            return self.makers.ranked(text)
+        found = self.known.mention(name_tokens(text))
+        return (found[2], 1.0, "mention", found[0], found[1]) if found else (-1, 0.0, "none", 0, 0)
+
     def maker(self, brand: str, title: str, description: str) -> tuple[str | None, set[str]]:
         """(maker, its words): by the typed brand, else by a mention of a known one, else as the description names it."""
         tokens = name_tokens(brand)
         if tokens and "".join(tokens) not in NO_MAKER:
-            ref = self.makers.match(brand)[0]
+            ref = self.look("brand", brand)
             if ref >= 0:
                 return f"r{ref}", set(tokens)
-        for text in (title, description):
-            words = name_tokens(text)
-            found = self.known.mention(words)
-            if found is not None:
-                return f"r{found[2]}", set(tokens)
-        named = _MAKER.search(description)
-        if named:
-            text = next(g for g in named.groups() if g)
+        for role, text in (("title", title), ("description", description)):
+            ref = self.look(role, text)
+            if ref >= 0:
+                return f"r{ref}", set(tokens)
+        text = named_maker(description)
+        if text:
             mine = name_tokens(text)
-            ref = self.makers.match(text)[0]
+            ref = self.look("named", text)
             return (f"r{ref}" if ref >= 0 else "t" + "".join(mine)), set(mine) | set(tokens)
         own = [t for t in tokens if t not in NOISE]
         if own and "".join(own) not in NO_MAKER:
@@ -143,7 +162,7 @@ class Reader:
         return (best[1], best[2]) if best else (None, set())
 
     def read(self, title, description, brand, leaf, attributes) -> dict:
-        title, description, brand = title or "", _TAG.sub(" ", description or ""), brand or ""
+        title, description, brand = texts_of(title, description, brand)
         attributes = {str(k).lower(): v for k, v in attributes if v is not None}
 
         def first(pattern, texts, value):
@@ -220,15 +239,55 @@ class Reader:
 FACTS = "id string, maker string, lines array<string>, kind string, size string, amount double, colour string, pack int, gen int, code string"
 
 
-def read_all(entries: list[tuple[int, str]], least: float):
+ANSWERS = "id string, role string, mention boolean, length int, start int, likeness double, ref_id int, names array<string>"
+FOUND = "array<struct<role:string,ref_id:int,names:array<string>>>"
+
+
+class ResolvedReader(Reader):
+    """Reads listings whose makers were looked up in the blocks of a long list."""
+
+    def __init__(self, least: float = 0.8):
+        super().__init__([], least)
+        self.found: dict[str, int] = {}
+
+    def resolve(self, found) -> None:
+        self.found = {x["role"]: x["ref_id"] for x in found}
+        self._names = {f"r{x['ref_id']}": set(x["names"]) for x in found}
+
+    def look(self, role: str, text: str) -> int:
+        return self.found.get(role, -1)
+
+
+def answer_all(entries: list[tuple[int, str]], least: float):
+    """What one block of makers answers to the texts of each listing, as ``ANSWERS``."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         reader = Reader(entries, least)
+        columns = [c.split()[0] for c in ANSWERS.split(", ")]
+        for pdf in batches:
+            rows = []
+            for i, *texts in zip(pdf["id"], pdf["title"], pdf["description"], pdf["brand"]):
+                title, description, brand = texts_of(*texts)
+                for role, text in (("brand", brand), ("title", title), ("description", description), ("named", named_maker(description))):
+                    ref, likeness, method, length, start = reader.answer(role, text) if text else (-1, 0.0, "none", 0, 0)
+                    if ref >= 0:
+                        rows.append((i, role, method == "mention", length, start, likeness, ref, sorted(reader._names[f"r{ref}"])))
+            yield pd.DataFrame(rows, columns=columns)
+
+    return run
+
+
+def read_all(entries: list[tuple[int, str]], least: float, resolved: bool = False):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        reader = ResolvedReader(least) if resolved else Reader(entries, least)
         columns = [c.split()[0] for c in FACTS.split(", ")]
         for pdf in batches:
-            rows = [
-                {"id": i, **reader.read(t, d, b, leaf, [] if a is None else [(x["key"], x["value"]) for x in a])}
-                for i, t, d, b, leaf, a in zip(pdf["id"], pdf["title"], pdf["description"], pdf["brand"], pdf["leaf"], pdf["attributes"])
-            ]
+            rows = []
+            found = pdf["found"] if resolved else [None] * len(pdf)
+            for i, t, d, b, leaf, a, f in zip(pdf["id"], pdf["title"], pdf["description"], pdf["brand"], pdf["leaf"], pdf["attributes"], found):
+                if resolved:
+                    reader.resolve([] if f is None else f)
+                rows.append({"id": i, **reader.read(t, d, b, leaf, [] if a is None else [(x["key"], x["value"]) for x in a])})
             out = pd.DataFrame(rows, columns=columns)
             out["pack"], out["gen"] = out["pack"].astype("int32"), out["gen"].astype("int32")
             out["amount"] = out["amount"].astype("float64")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from math import log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.listing_facts import FACTS, read_all
+from vitrine.llm.canonical import reference_blocks
+from vitrine.llm.listing_facts import ANSWERS, FACTS, FOUND, answer_all, read_all
 from vitrine.llm.together import pairs_of_sets
 from vitrine.runtime import MAX_BROADCAST_ROWS, collect_bounded, cut
 
@@ -20,15 +22,25 @@ SAME_AMOUNT = 0.015
 def facts_of(listings: DataFrame, makers: DataFrame, least: float = 0.8, known: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """One row of facts per listing; ``makers(ref_id, name, aliases)`` are the known makers.
 
-    If there are more than ``known`` of these, none is sent to the tasks and makers are
-    told apart by their spelled names only."""
-    rows = collect_bounded(makers.where("ref_id is not null").orderBy("ref_id").select("ref_id", "name", "aliases"), known) or []
-    entries = [(r["ref_id"], n) for r in rows for n in [r["name"], *(r["aliases"] or [])] if n and n.strip()]
+    More than ``known`` of these are looked up in blocks, of whose answers the best counts
+    as in ``map_to_canonical``; the facts are the same as with one block."""
     leaf = F.get("subcategories", F.when(F.size("subcategories") > 1, F.size("subcategories") - 1).otherwise(F.lit(-1)))
     columns = listings.where("id is not null").select(
         F.col("id").cast("string").alias("id"), "title", "description", "brand", leaf.alias("leaf"), F.map_entries("attributes").alias("attributes")
     )
-    return columns.mapInPandas(read_all(entries, least), FACTS)
+    rows = collect_bounded(makers.where("ref_id is not null").orderBy("ref_id").select("ref_id", "name", "aliases"), known)
+    if rows is not None:
+        entries = [(r["ref_id"], n) for r in rows for n in [r["name"], *(r["aliases"] or [])] if n and n.strip()]
+        return columns.mapInPandas(read_all(entries, least), FACTS)
+    columns = cut(columns)
+    blocks = reference_blocks(makers.withColumn("field", F.lit("brand")), known)
+    texts = columns.select("id", "title", "description", "brand")
+    answers = reduce(DataFrame.unionByName, [texts.mapInPandas(answer_all(b.get("brand", []), least), ANSWERS) for b in blocks])
+    rank = F.struct("mention", "length", (-F.col("start")).alias("s"), "likeness", (-F.col("ref_id")).alias("r"), "names")
+    best = answers.groupBy("id", "role").agg(F.max(rank).alias("b"))
+    one = F.struct("role", (-F.col("b.r")).alias("ref_id"), F.col("b.names").alias("names"))
+    found = best.groupBy("id").agg(F.collect_list(one).cast(FOUND).alias("found"))
+    return columns.join(found, "id", "left").mapInPandas(read_all([], least, resolved=True), FACTS)
 
 
 def _snapped(amount):
