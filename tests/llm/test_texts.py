@@ -106,6 +106,11 @@ def test_harmless(spark, text):
     assert abuse_scores(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()["n_hits"] == 0
 
 
+@pytest.mark.parametrize("text,hits", [("f**k you", 1), ("F**king thing!", 1), ("you b***h", 1), ("an a**hole", 1), ("an a$$hole", 1), ("a great** value", 0), ("AT&T, size M**", 0)])
+def test_runs_of_hidden_letters(spark, text, hits):
+    assert abuse_scores(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()["n_hits"] == hits
+
+
 def test_abuse_edges_and_rates(spark):
     rows = [(1, None, " A "), (2, "", "a"), (3, "fuck you", "a"), (4, "fine. " * 50_000 + "fuck you", None), (4, "fine", None), (None, "porn", "")]
     s = abuse_scores(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, n_hits int"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -11,6 +13,8 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.folding import ANY, sentences
 
+_RUN = re.compile(rf"{re.escape(ANY)}+")
+
 #: The lexicon (fixed values): phrases in folded spelling by kind and weight.  A sentence
 #: is abusive from a sum of 1 upwards, so one phrase of weight 1 suffices and milder
 #: words need company, such as an address to a person.
@@ -77,10 +81,31 @@ class Scorer:
                     for at in combinations(range(len(w)), n):
                         self.hidden["".join(ANY if i in at else ch for i, ch in enumerate(w))] = w
 
+        # For longer runs: words by length, those that are a phrase of their own first, of these the mildest.
+        alone: dict[str, float] = {}
+        for (_, weight), text in lexicon.items():
+            for p in _phrases(text):
+                alone[p] = max(weight, alone.get(p, 0.0))
+        self.by_length: dict[int, list[str]] = defaultdict(list)
+        for w in sorted(words, key=lambda w: (w not in alone, alone.get(w, 0.0), w)):
+            self.by_length[len(w)].append(w)
+
+    def unmasked(self, word: str) -> str:
+        """A word with hidden letters filled in: one sign for each letter, else a run of signs for one.
+
+        Two letters at least must be seen in a word that the table doesn't hold."""
+        if word in self.hidden:
+            return self.hidden[word]
+        if len(word) - word.count(ANY) >= 2:
+            for w in self.by_length.get(len(word), ()):
+                if all(x in (ANY, y) for x, y in zip(word, w)):
+                    return w
+        return self.hidden.get(_RUN.sub(ANY, word), word)
+
     def plain(self, word: str) -> str:
         """A word with hidden letters filled in, or a one-letter word that stuck to it taken off."""
         if ANY in word:
-            return self.hidden.get(word, word)
+            return self.unmasked(word)
         if word in self.words or len(word) < 5:
             return word
         if len(word) > 8:

@@ -25,7 +25,7 @@ _TAG = re.compile(r"<[^<>]*>")
 _MASK = re.compile(rf"(?<=\w)[{re.escape(MASKS)}]+(?=\w)|(?<=\w)\*+|(?<![\w])[@$](?=\w)")
 _JOINED = re.compile(r"(?<![^\W_])[^\W_](?:[-._·~]+[^\W_])+(?![^\W_])|(?<![^\W_])[^\W_](?:[-._·~ ]{1,3}[^\W_](?![^\W_])){2,}")
 _SEPARATORS = re.compile(r"[^\w*]|_")
-_REPEATED = re.compile(r"(.)\1{2,}")
+_REPEATED = re.compile(r"([^*])\1{2,}")
 _WORD = re.compile(r"[^\W_*]*(?:\*+[^\W_*]+|[^\W_*]+\**)+[^\W_]*|[^\W_]+")
 #: Ends of sentences; after doubled marks, which also stand within one for stress, only before a capital.
 _END = re.compile(r"(?:(?<=[.?…])(?<!\?\?)|(?<=[^!]!))[\s\"'”»)]+|(?<=!!|\?\?)[\s\"'”»)]+(?=[^a-z])")
@@ -50,12 +50,12 @@ def fold_word(word: str) -> str:
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The folded words of every sentence; a hidden letter is ``*``."""
+    """The folded words of every sentence; each sign that hides a letter is ``*``."""
     out = []
     for part in _END.split(clean(text)):
         part = part.casefold().translate(HOMOGLYPHS)
         part = _JOINED.sub(lambda m: _SEPARATORS.sub("", m.group()), part)
-        part = _MASK.sub(ANY, part)
+        part = _MASK.sub(lambda m: ANY * len(m.group()), part)
         words = [fold_word(w) for w in _WORD.findall(part)]
         if words:
             out.append(words)
