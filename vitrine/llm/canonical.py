@@ -114,7 +114,7 @@ class Matcher:
         return -length, start, ref
 
     def _alike(self, tokens: list[str]) -> tuple[int, float, str]:
-        """Token-set likeness: words joined in the given and in sorted order, compared by edits."""
+        """Likeness of the joined words, in the given and in sorted order, by edits over length."""
         top: tuple[float, int] | None = None
         for form in {"".join(tokens), "".join(sorted(tokens))} - {""}:
             shared: dict[int, int] = defaultdict(int)
@@ -181,7 +181,7 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8
     ``reference(ref_id, field, name, aliases)``.  A multi-pattern automaton over all names
     and aliases finds those mentioned in a value (whole words, blanks and punctuation
     apart); of the mentions the longest non-overlapping ones win, and of several the
-    longest, then the first.  Values without a mention go to token-set likeness: words in
+    longest, then the first.  Values without a mention go to likeness: words joined in
     typed and in sorted order, edits over length, ``least`` at least.  Equal likeness
     goes to the smaller ``ref_id``.  Method is ``mention``, ``alike`` or ``none``
     (``ref_id`` -1, the report of unmatched values).
