@@ -1,169 +1,158 @@
-"""Facts of a product listing, read from wherever it states them: maker, line, type, size, colour, pack, generation, code."""
+"""Facts of a product listing, read from wherever it states them, and its other words.
+
+Only general knowledge of shop copy is fixed here: units, ways to say a pack or a
+generation, colour names.  What is a type of product, a product line, a maker or mere
+selling is learned from the listings themselves by ``listing_words``."""
 
 from __future__ import annotations
 
 import re
+import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
 
-from vitrine.llm.canonical import NOISE, Matcher, edit_distance, name_tokens
-
-#: Names of product types and other names of the same type (fixed values).
-TYPES = """brush roll = paintbrush set; clay block = modelling clay; sketch pad = drawing book; clip speaker = wearable speaker;
-over-ear headset = around-ear headphones; desk soundbar = monitor soundbar; swaddle wrap = cocoon blanket; bottle warmer = milk heater;
-teething ring = gum soother; soap dispenser = lotion pump; bath mat = tub rug; shower caddy = hanging rack; down duvet = feather comforter;
-quilted throw = padded blanket; linen pillowcase = flax pillow cover; card sleeves = deck protectors; tile game = mosaic puzzle;
-dice set = polyhedral dice; sleeping quilt = trail quilt; gas burner = canister stove; dome shelter = trekking tent;
-seat cover = car seat protector; wax paste = polishing wax; wheel brush = rim scrubber; enamel saucepan = enamelled sauce pot;
-grill skillet = ridged frying pan; stock kettle = soup pot; tyre pump = mini inflator; frame pouch = top-tube bag;
-gel saddle = padded bike seat; cable box = cord organiser; gel pen = rollerball writer; paper tray = letter sorter;
-kettle weight = cast kettlebell; stretch band = resistance loop; foam roller = massage cylinder; rain boot = rubber wellington;
-trail runner = off-road trainers; house slipper = indoor mule; hedge shears = bush clippers; planter box = raised trough;
-watering can = sprinkling can; detangling comb = wet comb; curl cream = wave balm; argan shampoo = argan hair wash;
-ratchet driver = clicking screwdriver; spirit level = bubble level; claw hammer = nail hammer; folding colander = collapsible strainer;
-herb grater = spice grater; salad spinner = lettuce spinner; ceiling panel = flush light; string lights = fairy garland;
-reading lamp = bedside light; packing cube = suitcase organiser; day rucksack = light backpack; cabin trolley = carry-on roller;
-charging pad = wireless charger; braided cable = woven cord; power bank = battery pack; wool beanie = knit cap;
-shell jacket = rain anorak; fleece vest = pile gilet; slow feeder = anti-gulp bowl; dog harness = walking vest;
-cat tunnel = kitten tube; night serum = overnight drops; clay mask = mud facial; lip salve = mouth balm;
-field watch = canvas-strap watch; step tracker = activity band; heart strap = pulse belt"""
-#: Spellings of colours (fixed values).
-COLOURS = """black blk; white wht; grey gray; navy navy-blue; olive olive-green; sand sand-beige; orange ornge; purple prpl;
-yellow ylw; red; teal; copper; blue; green; brown; pink; silver; gold; beige"""
-#: Words that sell and say nothing about the item (fixed values).
-SALES = frozenset(
-    """must have sale new limited offer upgraded version hot deal best seller fast dispatch gift idea 100 genuine original premium
-    quality free shipping top rated the of a an and""".split()
-)
+from vitrine.llm.canonical import NOISE, Matcher, name_tokens
+
+#: Colour names (fixed values); names of the same colour stand together.
+COLOURS = """black; white; grey gray; silver; gold; red; orange; yellow; green; blue; navy; teal; turquoise; cyan; purple; violet; pink; magenta;
+brown; beige; khaki; olive; sand; copper; bronze; maroon; burgundy; ivory"""
 #: Words for no maker (fixed values).
-NO_MAKER = frozenset("unbranded generic na none unknown nobrand tbd other misc".split())
+NO_MAKER = frozenset("unbranded generic na none null unknown nobrand tbd other misc various".split())
+#: Words that open a phrase of features or purposes (fixed values).
+OPENERS = frozenset("with for mit für fuer con para avec pour".split())
+#: Words of such a phrase that count as opened by it.
+OPENED = 2
+#: Attributes that hold a code, a size, a pack count, a generation or a colour (fixed values).
+CODE_KEYS = ("mpn", "model", "sku", "part number", "article")
+SIZE_KEYS = ("size", "dimension", "dimensions", "capacity", "weight", "length")
+PACK_KEYS = ("pack", "quantity", "count")
+GEN_KEYS = ("generation", "version")
+COLOUR_KEYS = ("color", "colour")
 
 _UNITS = {
-    "mm": ("len", 1.0), "cm": ("len", 10.0), "m": ("len", 1000.0), "in": ("len", 25.4), "inch": ("len", 25.4), "inches": ("len", 25.4),
+    "mm": ("len", 1.0), "cm": ("len", 10.0), "m": ("len", 1000.0), "in": ("len", 25.4), "inch": ("len", 25.4), "inches": ("len", 25.4), "ft": ("len", 304.8),
     "ml": ("vol", 1.0), "cl": ("vol", 10.0), "l": ("vol", 1000.0), "fl oz": ("vol", 29.5735),
-    "g": ("mass", 1.0), "kg": ("mass", 1000.0), "oz": ("mass", 28.3495), "lb": ("mass", 453.592), "lbs": ("mass", 453.592),
+    "mg": ("mass", 0.001), "g": ("mass", 1.0), "kg": ("mass", 1000.0), "oz": ("mass", 28.3495), "lb": ("mass", 453.592), "lbs": ("mass", 453.592),
     "w": ("power", 1.0), "watt": ("power", 1.0), "watts": ("power", 1.0), "kw": ("power", 1000.0),
     "pc": ("count", 1.0), "pcs": ("count", 1.0), "piece": ("count", 1.0), "pieces": ("count", 1.0),
 }
-_MEASURE = re.compile(r"(?<![\w.])(\d+(?:[.,]\d+)?)[\s-]*(fl\.?\s?oz|mm|cm|ml|cl|kg|kw|inches|inch|in|lbs|lb|oz|watts|watt|pieces|piece|pcs|pc|m|l|g|w)(?![\w])", re.I)
+_MEASURE = re.compile(r"(?<![\w.])(\d+(?:[.,]\d+)?)[\s-]*(fl\.?\s?oz|mm|cm|ml|cl|kg|kw|mg|inches|inch|in|ft|lbs|lb|oz|watts|watt|pieces|piece|pcs|pc|m|l|g|w)(?![\w])", re.I)
+_FL_OZ = re.compile(r"fl\.?\s?oz")
 _WEAR = {"s": "s", "small": "s", "m": "m", "medium": "m", "l": "l", "large": "l", "xl": "xl", "x-large": "xl", "xxl": "xxl", "2xl": "xxl", "xx-large": "xxl"}
-_WEAR_MARKED = re.compile(r"(?:\bsize:?\s*|\()\s*(xx-large|x-large|xxl|2xl|xl|small|medium|large|[sml])\b\)?|\b(xx-large|x-large|xxl|2xl|xl|small(?! flats)|medium|large)\b", re.I)
+_WEAR_MARKED = re.compile(
+    r"(?:\bsize:?\s*|\()\s*(xx-large|x-large|xxl|2xl|xl|small|medium|large|[sml])\b\)?|(?<!\bfor )(?<!\bwith )\b(xx-large|x-large|xxl|2xl|xl|small|medium|large)\b", re.I
+)
 _WEAR_BARE = re.compile(r"(?:^|[\s,|])([SML])(?=$|[\s,|.])")
-_WEAR_SAID = re.compile(r"\b(?:measures|comes in at|size)\s+([SML])\b(?!\s*\w)", re.I)
-_PACK = re.compile(r"\b(?:pack of|set of)\s*(\d+)\b|\b(\d+)\s*-\s*pack\b|(?<![\w])x\s?(\d+)\b|\b(twin)[\s-]pack\b|\b(half)[\s-]dozen\b", re.I)
-_GENERATION = re.compile(r"\b(?:gen|mark|mk)\.?\s*(iii|ii|iv|i|\d+)\b|\b(\d+)(?:st|nd|rd|th)\s+gen\b", re.I)
+_PACK = re.compile(r"\b(?:pack of|set of|box of)\s*(\d+)\b|\b(\d+)\s*-\s*pack\b|(?<![\w])x\s?(\d+)\b|\b(twin)[\s-]pack\b|\b(half)[\s-]dozen\b", re.I)
+_GENERATION = re.compile(r"\b(?:gen|generation|mark|mk)\.?\s*(iii|ii|iv|i|\d+)\b|\b(\d+)(?:st|nd|rd|th)\s+gen(?:eration)?\b", re.I)
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4}
 #: A code in an attribute, where a blank may part it, and in a text, where "can 2000 ml" is none.
-_CODE = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{3})[-/. ]?(\d{4})(?![A-Za-z0-9])")
-_CODE_SAID = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{3})[-/.]?(\d{4})(?![A-Za-z0-9])")
-_LINE = re.compile(r"\b(?:part of the|belongs to the)\s+(.+?)\s+(?:line|range)\b|\bseries:\s*([^.<]+)", re.I)
-_MAKER = re.compile(r"\b[Bb]y ([A-Z][^.:<]*)\.|\b[Ff]rom ([A-Z][^.:<]*):|(?:^|[.>]\s*)([A-Z][^.:<]*?) built this\b")
-_FEATURE = re.compile(r"\b(?:with|for)\s+(?:travel case|soft grip|small flats|spare parts|left hands|carry loop|daily use|led|strap|timer|two|lid|guests|winter|beginners|\w+)\b", re.I)
+_CODE = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2,6})[-/. ]?(\d{3,8})(?![A-Za-z0-9])")
+_CODE_SAID = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2,6})[-/.]?(\d{3,8})(?![A-Za-z0-9])")
 _TAG = re.compile(r"<[^<>]*>")
-_WORD = re.compile(r"[^\W_]+")
+_WORD = re.compile(r"[^\W\d_]+|[^\s]")
+_LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def _type_names() -> dict[str, str]:
-    out = {}
-    for pair in TYPES.split(";"):
-        names = [" ".join(_WORD.findall(n.lower())) for n in pair.split("=")]
-        out |= {n: names[0] for n in names}
-    return out
+def short_spellings(name: str) -> set[str]:
+    """Spellings of a colour without some of its vowels, doubled letters or the c of ck, of three letters
+    or more; names under five letters lose all vowels or none."""
+    if len(name) < 5:
+        return {s for s in (name, name[0] + re.sub("[aeiou]", "", name[1:])) if len(s) >= 3}
+    out = {name[:1]}
+    for i, ch in enumerate(name[1:], 1):
+        free = ch in "aeiouwy" or ch == name[i - 1] or name[i : i + 2] == "ck"
+        out = {s + ch for s in out} | (out if free else set())
+    return {s for s in out if len(s) >= 3}
 
 
 def _colour_names() -> dict[str, str]:
-    return {" ".join(_WORD.findall(w)): g.split()[0] for g in COLOURS.split(";") for w in g.split()}
+    groups = [g.split() for g in COLOURS.split(";")]
+    whole = {n: g[0] for g in groups for n in g}
+    short: dict[str, set[str]] = {}
+    for n, c in whole.items():
+        for s in short_spellings(n):
+            short.setdefault(s, set()).add(c)
+    return {s: min(cs) for s, cs in short.items() if len(cs) == 1} | whole
 
 
 def measures(text: str) -> list[tuple[str, float]]:
     """All sizes in a text as (kind, amount in the base unit)."""
     out = []
     for m in _MEASURE.finditer(text):
-        kind, factor = _UNITS[re.sub(r"fl\.?\s?oz", "fl oz", m[2].lower())]
+        kind, factor = _UNITS[_FL_OZ.sub("fl oz", m[2].lower())]
         out.append((kind, float(m[1].replace(",", ".")) * factor))
     return out
 
 
-def texts_of(title, description, brand) -> tuple[str, str, str]:
-    return title or "", _TAG.sub(" ", description or ""), brand or ""
+def plain(text: str | None) -> str:
+    """A text without markup, wide letters and accents."""
+    text = _TAG.sub(" ; ", text) if text and "<" in text else text or ""
+    if text.isascii():
+        return text
+    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text))
+    return "".join(ch for ch in text if not unicodedata.combining(ch) and unicodedata.category(ch) != "Cf")
 
 
-def named_maker(description: str) -> str | None:
-    """The maker as a description names it."""
-    named = _MAKER.search(description)
-    return next(g for g in named.groups() if g) if named else None
+def texts_of(title, description, brand) -> tuple[str, str, str]:
+    return plain(title), plain(description), brand or ""
 
 
 class Reader:
-    """Facts of listings; ``entries`` are the known makers."""
+    """Facts and words of listings; ``entries`` are the known makers."""
 
-    def __init__(self, entries: list[tuple[int, str]], least: float = 0.8):
+    def __init__(self, entries: list[tuple[int, str]], least: float = 0.8, memory: int = 200_000):
         self.makers = Matcher(entries, least)
+        # Shorter names are found in a brand, but not within a text.
         self.known = Matcher([e for e in entries if len("".join(name_tokens(e[1]))) >= 6], least)
-        self.types = _type_names()
         self.colours = _colour_names()
-        words = {w for n in self.types for w in n.split()}
-        self.type_words = words
+        self.memory, self._typed = memory, {}
         self._names: dict[str | None, set[str]] = {}
         for ref, name in entries:
             self._names.setdefault(f"r{ref}", set()).update(name_tokens(name))
 
     def look(self, role: str, text: str) -> int:
-        """ref_id of the known maker a text gives, or -1: brands and named makers by likeness too, titles and descriptions by mentions."""
+        """ref_id of the known maker a text gives, or -1: brands by likeness too, titles and descriptions by mentions."""
         return self.answer(role, text)[0]
 
     def answer(self, role: str, text: str) -> tuple[int, float, str, int, int]:
         """``look`` with what answers of several lists are compared by."""
-        if role in ("brand", "named"):
+        if role == "brand":
             return self.makers.ranked(text)
         found = self.known.mention(name_tokens(text))
         return (found[2], 1.0, "mention", found[0], found[1]) if found else (-1, 0.0, "none", 0, 0)
 
-    def maker(self, brand: str, title: str, description: str) -> tuple[str | None, set[str]]:
-        """(maker, its words): by the typed brand, else by a mention of a known one, else as the description names it."""
+    def typed(self, brand: str) -> tuple[str | None, str, set[str]]:
+        """(known maker, joined words, words) of a typed brand."""
         tokens = name_tokens(brand)
-        if tokens and "".join(tokens) not in NO_MAKER:
-            ref = self.look("brand", brand)
-            if ref >= 0:
-                return f"r{ref}", set(tokens)
-        for role, text in (("title", title), ("description", description)):
-            ref = self.look(role, text)
-            if ref >= 0:
-                return f"r{ref}", set(tokens)
-        text = named_maker(description)
-        if text:
-            mine = name_tokens(text)
-            ref = self.look("named", text)
-            return (f"r{ref}" if ref >= 0 else "t" + "".join(mine)), set(mine) | set(tokens)
         own = [t for t in tokens if t not in NOISE]
-        if own and "".join(own) not in NO_MAKER:
-            return "t" + "".join(own), set(tokens)
-        return None, set()
-
-    def type_of(self, words: list[str]) -> tuple[str | None, set[int]]:
-        """(type, positions of its words); a name one or two edits away counts where no name is found."""
-        for n in (4, 3, 2):
-            for i in range(len(words) - n + 1):
-                t = self.types.get(" ".join(words[i : i + n]))
-                if t:
-                    return t, set(range(i, i + n))
-        best = None
-        for n in (4, 3, 2):
-            for i in range(len(words) - n + 1):
-                got = " ".join(words[i : i + n])
-                if not any(w in self.type_words for w in words[i : i + n]):
-                    continue
-                for name, t in self.types.items():
-                    if name.count(" ") == n - 1 and (got[0] == name[0] or got[-1:] == name[-1:]):
-                        d = edit_distance(got, name, 2)
-                        if d <= 2 and (best is None or d < best[0]):
-                            best = (d, t, set(range(i, i + n)))
-        return (best[1], best[2]) if best else (None, set())
-
-    def read(self, title, description, brand, leaf, attributes) -> dict:
+        if not own or "".join(tokens) in NO_MAKER or "".join(own) in NO_MAKER:
+            return None, "", set()
+        ref = self.look("brand", brand)
+        return (f"r{ref}" if ref >= 0 else None), "".join(own), set(tokens)
+
+    def maker(self, brand: str, title: str, description: str) -> tuple[str | None, set[str]]:
+        """(maker, its words): the known one that the brand gives, else the one that a text mentions, else the brand as typed."""
+        got = self._typed.get(brand)
+        if got is None:
+            if len(self._typed) >= self.memory:  # only a cache
+                self._typed.clear()
+            got = self._typed[brand] = self.typed(brand)
+        maker, own, tokens = got
+        if maker is None:
+            for role, text in (("title", title), ("description", description)):
+                ref = self.look(role, text) if text else -1
+                if ref >= 0:
+                    maker = f"r{ref}"
+                    break
+        if maker is not None:
+            return maker, tokens | self._names.get(maker, set())
+        return ("t" + own if own else None), tokens
+
+    def read(self, title, description, brand, attributes) -> dict:
         title, description, brand = texts_of(title, description, brand)
-        attributes = {str(k).lower(): v for k, v in attributes if v is not None}
+        attributes = {str(k).strip().lower(): str(v) for k, v in attributes if v is not None}
 
         def first(pattern, texts, value):
             for text in texts:
@@ -172,71 +161,63 @@ class Reader:
                     return value(m)
             return None
 
-        def said(*names):
+        def said(names):
             return [attributes[k] for k in names if k in attributes]
 
         # Facts are taken out of the texts one after another, so that none is read as part of another.
         texts = [title, description]
-        code = first(_CODE, said("mpn", "model"), lambda m: (m[1] + m[2]).lower()) or first(_CODE_SAID, texts, lambda m: (m[1] + m[2]).lower())
+        code = first(_CODE, said(CODE_KEYS), lambda m: (m[1] + m[2]).lower()) or first(_CODE_SAID, texts, lambda m: (m[1] + m[2]).lower())
         texts = [_CODE_SAID.sub(" ; ", t) for t in texts]
-        gen = first(_GENERATION, [*said("generation"), *texts], lambda m: int(m[2]) if m[2] else _ROMAN.get(m[1].lower()) or int(m[1]))
+        gen = first(_GENERATION, [*said(GEN_KEYS), *texts], lambda m: int(m[2]) if m[2] else _ROMAN.get(m[1].lower()) or int(m[1]))
         texts = [_GENERATION.sub(" ; ", t) for t in texts]
-        pack = first(_PACK, [*said("pack", "quantity"), *texts], lambda m: 2 if m[4] else 6 if m[5] else int(next(g for g in m.groups() if g)))
+        pack = first(_PACK, [*said(PACK_KEYS), *texts], lambda m: 2 if m[4] else 6 if m[5] else int(next(g for g in m.groups() if g)))
         texts = [_PACK.sub(" ; ", t) for t in texts]
         size = wear = None
-        for text in [*said("size", "dimension"), *texts]:
+        for text in [*said(SIZE_KEYS), *texts]:
             got = measures(text)
-            m = None if got else _WEAR_MARKED.search(text) or (_WEAR_SAID if text is texts[1] else _WEAR_BARE).search(text)
+            m = None if got else _WEAR_MARKED.search(text) or _WEAR_BARE.search(text)
             if got:
                 size = got[0]
             elif m:
                 wear = _WEAR[next(g for g in m.groups() if g).lower()]
             if got or m:
                 break
-        stripped = _MEASURE.sub(" ", texts[0])
-        stripped = _WEAR_MARKED.sub(" ", stripped) if wear else stripped
-        words = [w.lower() for w in _WORD.findall(stripped)]
-        kind, at = self.type_of(words)
-        if kind is None:
-            kind = self.types.get(" ".join(_WORD.findall((leaf or "").lower()))) or self.type_of([w.lower() for w in _WORD.findall(description)])[0]
-        if kind is None and leaf:
-            kind = " ".join(_WORD.findall(leaf.lower()))
-
-        colour = None
-        for text in [*(attributes[k] for k in ("color", "colour") if k in attributes), title, description]:
-            ws = [w.lower() for w in _WORD.findall(text)]
-            for i, w in enumerate(ws):
-                two = " ".join(ws[i : i + 2])
-                colour = colour or self.colours.get(two) or self.colours.get(w)
-            if colour:
-                break
-
+        texts = [_MEASURE.sub(" ; ", t) for t in texts]
         maker, maker_words = self.maker(brand, title, description)
-        lines = {" ".join(_WORD.findall(next(g for g in m.groups() if g).lower())) for m in _LINE.finditer(description)}
-        if not lines:
-            rest = " ".join(w for i, w in enumerate(words) if i not in at)
-            rest = _FEATURE.sub(" ", rest)
-            left = []
-            for w in rest.split():
-                if w in SALES or w in self.colours or w in maker_words or w in self.type_words or len(w) < 3 or w.isdigit() or w in _WEAR:
-                    continue
-                left.append(w)
-            # The maker's name may stand in the title however the brand was typed.
-            lines = {w for w in left if w not in self._names.get(maker, ())}
+        colour = None
+        for text in said(COLOUR_KEYS):
+            colour = colour or next((self.colours[w] for w in _LETTERS.findall(text.lower()) if w in self.colours), None)
+        words, opened = {}, set()
+        for text in texts:
+            since = OPENED
+            for w in _WORD.findall(text.lower()):
+                if w in OPENERS:
+                    since = 0
+                elif not w[0].isalpha():
+                    since = OPENED
+                else:
+                    if since < OPENED:
+                        opened.add(w)
+                    since += 1
+                    if w in self.colours:
+                        colour = colour or self.colours[w]
+                    elif len(w) > 1 and w not in _WEAR:
+                        words[w] = None
         return {
             "maker": maker,
-            "lines": sorted(lines),
-            "kind": kind,
             "size": f"{size[0]}" if size else (f"wear-{wear}" if wear else None),
             "amount": size[1] if size else None,
             "colour": colour,
-            "pack": pack or 1,
-            "gen": gen or 1,
+            "pack": min(pack or 1, 2**31 - 1),
+            "gen": min(gen or 1, 2**31 - 1),
             "code": code,
+            "words": list(words),
+            "opened": [w in opened for w in words],
+            "branded": [w in maker_words for w in words],
         }
 
 
-FACTS = "id string, maker string, lines array<string>, kind string, size string, amount double, colour string, pack int, gen int, code string"
+FACTS = "id string, leaf string, maker string, size string, amount double, colour string, pack int, gen int, code string, words array<string>, opened array<boolean>, branded array<boolean>"
 
 
 ANSWERS = "id string, role string, mention boolean, length int, start int, likeness double, ref_id int, names array<string>"
@@ -247,12 +228,13 @@ class ResolvedReader(Reader):
     """Reads listings whose makers were looked up in the blocks of a long list."""
 
     def __init__(self, least: float = 0.8):
-        super().__init__([], least)
+        super().__init__([], least, memory=1)
         self.found: dict[str, int] = {}
 
     def resolve(self, found) -> None:
         self.found = {x["role"]: x["ref_id"] for x in found}
         self._names = {f"r{x['ref_id']}": set(x["names"]) for x in found}
+        self._typed.clear()
 
     def look(self, role: str, text: str) -> int:
         return self.found.get(role, -1)
@@ -268,7 +250,7 @@ def answer_all(entries: list[tuple[int, str]], least: float):
             rows = []
             for i, *texts in zip(pdf["id"], pdf["title"], pdf["description"], pdf["brand"]):
                 title, description, brand = texts_of(*texts)
-                for role, text in (("brand", brand), ("title", title), ("description", description), ("named", named_maker(description))):
+                for role, text in (("brand", brand), ("title", title), ("description", description)):
                     ref, likeness, method, length, start = reader.answer(role, text) if text else (-1, 0.0, "none", 0, 0)
                     if ref >= 0:
                         rows.append((i, role, method == "mention", length, start, likeness, ref, sorted(reader._names[f"r{ref}"])))
@@ -287,7 +269,7 @@ def read_all(entries: list[tuple[int, str]], least: float, resolved: bool = Fals
             for i, t, d, b, leaf, a, f in zip(pdf["id"], pdf["title"], pdf["description"], pdf["brand"], pdf["leaf"], pdf["attributes"], found):
                 if resolved:
                     reader.resolve([] if f is None else f)
-                rows.append({"id": i, **reader.read(t, d, b, leaf, [] if a is None else [(x["key"], x["value"]) for x in a])})
+                rows.append({"id": i, "leaf": leaf, **reader.read(t, d, b, [] if a is None else [(x["key"], x["value"]) for x in a])})
             out = pd.DataFrame(rows, columns=columns)
             out["pack"], out["gen"] = out["pack"].astype("int32"), out["gen"].astype("int32")
             out["amount"] = out["amount"].astype("float64")
