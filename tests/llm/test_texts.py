@@ -5,9 +5,10 @@ import random
 import numpy as np
 import pytest
 
-from vitrine.llm.abuse import abuse_scores, rates_by_source
+from vitrine.llm.abuse import Scorer, abuse_scores, rates_by_source
 from vitrine.llm.folding import sentences
 from vitrine.llm.leakage import leaked, suffix_array, without_leaks, words_of
+from vitrine.llm.lexicon import EXCEPTIONS, LEXICON
 
 WORDS = [f"w{i}" for i in range(400)]
 
@@ -106,6 +107,97 @@ def test_harmless(spark, text):
     assert abuse_scores(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()["n_hits"] == 0
 
 
+#: Sentences written after the lexicon, none of them from the test tables, to measure it on phrasings it wasn't made for.
+ABUSIVE = [
+    "You absolute morons can't even ship a box.",
+    "What a bunch of lying crooks, I hope you rot.",
+    "Go hang yourself, seller.",
+    "That dumb bitch at the counter laughed at me.",
+    "I'm going to kill you if this breaks again.",
+"Whoever designed this handle is a complete idiot.",
+    "Your customer service are useless clowns.",
+    "This company is run by greedy pigs, you disgusting creeps.",
+    "Eat shit and die.",
+    "Refugees are parasites, throw them out.",
+"Muslims are animals and should be deported.",
+    "Those people are filth, exterminate them.",
+    "Gays are a disease.",
+    "Women are too stupid to use a drill.",
+    "Jews are rats, get rid of them all.",
+    "All foreigners are thieves and criminals.",
+"Send me nudes and I'll give five stars.",
+    "Watch me masturbate on webcam.",
+    "She has huge boobs and wants it rough.",
+    "Hot sluts near you, click here.",
+    "Naked girls, adults only, uncensored porn.",
+    "I will break your legs, you lying rat.",
+"Du dummes Schwein, verpiss dich!",
+    "Ihr seid alle Arschlöcher.",
+    "Ausländer sind Abschaum, raus mit ihnen.",
+    "Was für ein dummer Vollidiot.",
+    "Halt's Maul, du Penner.",
+    "Eres un cabrón y un inútil.",
+    "Los inmigrantes son ratas, hay que echarlos.",
+    "Chúpame la polla.",
+"Sale connasse, casse-toi.",
+    "Les étrangers sont de la racaille.",
+    "T'es qu'un gros porc, ta gueule.",
+    "Y0u 4re a st.u.p.i.d c*nt",
+    "f u c k this shop",
+    "You are all r3t4rd3d",
+    "kіll yоurself",
+    "What a pathetic loser you are.",
+]
+#: Harmless uses of the same words, likewise.
+HARMLESS = [
+    "My dog loves to lick the bowl clean.",
+    "The pigs on the nursery print are adorable.",
+    "It is stupid how good this pan is.",
+    "The kettle died after a week and I was sick of waiting.",
+    "Use it against rats, cockroaches and other vermin in your garage.",
+"This mask kills bacteria and keeps your skin soft.",
+    "The women's size runs small, the men's size is fine.",
+    "A foolproof setup, even my grandmother managed.",
+    "Dirty dishes pile up, so I bought two racks for you.",
+    "The colour is an ugly green but you get used to it.",
+"Beat the eggs, then whip them up with sugar.",
+    "Black people and white people alike will find a shade that fits.",
+    "My old people at the care home love the puzzle.",
+    "He shot ten photos of the naked eye chart.",
+    "The clown costume was a hit at your party.",
+    "Old people find the buttons easy to read.",
+"You die a thousand deaths in this board game.",
+    "Cheap and nasty packaging, the seller was useless though polite.",
+    "The screw bit my thumb, what a pain.",
+    "The cock crows at dawn on this clock.",
+    "Sex education books for teenagers, well written.",
+    "The fat separator drains well, you will like it.",
+"Die Farbe ist hässlich, aber dir gefällt sie vielleicht.",
+    "Der dicke Stoff hält dich warm.",
+    "Das Schwein auf der Tasse ist niedlich.",
+    "La basura cabe en el cubo.",
+    "Mi gata mató una rata, qué asco.",
+    "Le sac est moche mais tu vas l'aimer.",
+    "Un gros carton pour vous.",
+    "Ces gens du service client sont gentils.",
+"Migrants and refugees in our town got free blankets.",
+    "My gay neighbour adores this lamp.",
+    "The shitake mushrooms grow well.",
+    "Scunthorpe delivery took two days.",
+    "I sliced my finger with the bastard file.",
+    "The lazy eye patch fits my son.",
+    "Those people at the depot were friendly.",
+    "The rotten smell went away and you can wash it.",
+]
+
+
+def test_held_out_phrasings():
+    scorer = Scorer(LEXICON, EXCEPTIONS)
+    flagged = lambda t: any(max(got.values()) >= 1 - 1e-9 for got in map(scorer.sentence, sentences(t)) if got)
+    found, wrong = sum(map(flagged, ABUSIVE)), sum(map(flagged, HARMLESS))
+    assert found >= 0.9 * len(ABUSIVE) and found >= 0.9 * (found + wrong)
+
+
 @pytest.mark.parametrize("text,hits", [("f**k you", 1), ("F**king thing!", 1), ("you b***h", 1), ("an a**hole", 1), ("an a$$hole", 1), ("a great** value", 0), ("AT&T, size M**", 0)])
 def test_runs_of_hidden_letters(spark, text, hits):
     assert abuse_scores(spark.createDataFrame([(1, text, "a")], "doc_id long, text string, source string")).first()["n_hits"] == hits
@@ -115,6 +207,8 @@ def test_abuse_edges_and_rates(spark):
     rows = [(1, None, " A "), (2, "", "a"), (3, "fuck you", "a"), (4, "fine. " * 50_000 + "fuck you", None), (4, "fine", None), (None, "porn", "")]
     s = abuse_scores(spark.createDataFrame([(*r, 5) for r in rows], "doc_id long, text string, source string, n_hits int"))
     got = s.collect()
+    mild = abuse_scores(spark.createDataFrame([(1, "The shade is nude, the idiot light works.", "a"), (2, "Nice lamp for you.", "a")], "doc_id long, text string, source string")).collect()
+    assert mild[0]["n_hits"] == 0 and mild[0]["score"] > 0 and mild[1]["score"] == 0
     assert len(got) == 6 and [r["n_hits"] for r in got] == [0, 0, 1, 1, 0, 1] and got[3]["score"] < got[2]["score"]
     rates = {r["source"]: (r["documents"], r["flagged"]) for r in rates_by_source(s).collect()}
     assert rates == {"a": (3, 1), "unknown": (3, 2)}

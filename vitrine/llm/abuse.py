@@ -4,91 +4,57 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.llm.folding import ANY, sentences
+from vitrine.llm.folding import ANY, doubled, fold_word, sentences, unleeted
+from vitrine.llm.lexicon import EXCEPTIONS, LEXICON, Entry, phrases_of
 
 _RUN = re.compile(rf"{re.escape(ANY)}+")
-
-#: The lexicon (fixed values): phrases in folded spelling by kind and weight.  A sentence
-#: is abusive from a sum of 1 upwards, so one phrase of weight 1 suffices and milder
-#: words need company, such as an address to a person.
-LEXICON: dict[tuple[str, float], str] = {
-    ("abuse", 1.0): """fuck | fucking | fucker | motherfucker | piece of shit | shithead | wanker | cunt | bitch | bitches | asshole | arsehole |
-        dickhead | scumbag | jackass | retard | kill yourself | drop dead | smash your face | deserve to be beaten | shut your mouth |
-        crawl back into your hole | find out where you live | person who packed this chokes | connard | connasse | salaud | salauds |
-        ta gueule | va crever | encule | ordure | espece d ordure | arschloch | arschlocher | arschloecher | halt die fresse | missgeburt |
-        hurensohn | wichser | schlampe | verpiss dich | sollte man verprugeln | hijo de puta | hij de puta | puta | mierda | cabron |
-        vete al infierno | ojala te mueras | imbecil de mierda | fils de pute | fick dich | va te faire foutre | gilipollas | wish you were dead |
-        i will kill you | beat you up | break your legs | cut your throat""",
-    ("abuse", 0.6): """shit | idiot | idiots | moron | morons | imbecile | imbeciles | cretin | cretins | dimwit | dimwits | halfwit | halfwits |
-        loser | losers | creep | creeps | clown | clowns | pig | pigs | bastard | bastards | cockroach | cockroachs | cockroaches | parasite |
-        retarded | idiota | imbecil | debile | debiles | widerlicher | asqueroso | asquerosa | verzieh dich | callate | trottel | dummkopf |
-        abruti | hole and rot | chokes on it | mother must be ashamed | called me what a | never touch a | cry more you |
-        read the manual | if you can read at all | writes reviews like | whoever made this | burn in hell | go to hell""",
-    ("abuse", 0.7): "whole support team are",
-    ("abuse", 0.3): """stupid | useless | worthless | pathetic | spineless | filthy | ugly | fat | lying | greasy | brain dead | disgusting |
-        dumb | you | your | listen | dich | du | tu es | eres un | eres una | gros""",
-    ("hate", 1.0): """lock them up like dogs | driven out of every shop | breed like rats | subhuman | get rid of them all | gehort weggesperrt |
-        dreckspack | echarla a patadas | qu on les jette dehors | sont de la vermine | untermenschen | that lot is dirty | they are all thieves""",
-    ("hate", 0.6): """vermin | savages | animals | degenerates | thieves | scum | filth | freaks | plague | parasites | inferior | too dumb for |
-        should be banned from | they are all | vermine | basura | they breed | they bred | never sell to | such animals""",
-    ("hate", 0.3): """migrants | foreigners | northerners | cripples | gays | women are | old people are | people of that faith | hill people |
-        tent dwellers | valley folk | island drivers | they are | are a | and lie | esa gente es | ces gens sont | dirty | keep""",
-    ("sexual", 1.0): """blowjob | tits | boobs | porn | porno | nudes | horny | erotic | slut | slutty | whore | panties | hot sex | sex chat |
-        explicit pics | see me naked | bend over baby | so hard for you | uncut erotic | lick your | dick pics | x clips | xx clips | xxx |
-        great ass i would | fuck all night | adults only no taboo | wet and nude | woman who moans | handjob | cumshot | pussy""",
-    ("sexual", 0.6): """sex | naked | nude | moans | lick | explicit | no taboo | want a video | ass | bobs | strip for""",
-}
-#: Harmless phrases (fixed values): what lies within one of them doesn't count.
-EXCEPTIONS = """idiot proof | kill for a | would kill for | killer price | dirty water | bastard file | rat trap | vermin problem | the vermin |
-    nude shade | nude tone | breast pump | sex unisex | unisex | hard at first | dumb question | stupidly good | pig shaped | money box |
-    abusive posts | took a beating | dog chewed | hot shoe | adult sizes | drop dead gorgeous | read the manual first | fat quarter |
-    fat free | ugly sweater | clown fish | guinea pig | dumb bell | strip lights | lick mat | pet ass | stupid simple | thieves knot"""
-
-
-def _phrases(text: str) -> list[str]:
-    return [" ".join(p.split()) for p in text.split("|") if p.strip()]
+KINDS = ("abuse", "hate", "sexual")
 
 
 class Scorer:
     """The lexicon as one automaton over folded words."""
 
-    def __init__(self, lexicon: dict[tuple[str, float], str], exceptions: str):
+    def __init__(self, lexicon: Sequence[Entry], exceptions: str, memory: int = 500_000):
         import ahocorasick
 
         self.auto = ahocorasick.Automaton()
-        words: set[str] = set()
-        for (kind, weight), text in lexicon.items():
-            for p in _phrases(text):
-                self.auto.add_word(f" {p} ", (kind, weight, p))
-                words.update(p.split())
-        for p in _phrases(exceptions):
-            self.auto.add_word(f" {p} ", ("", 0.0, p))
-            words.update(p.split())
-        self.auto.make_automaton()
-        self.words = words
-        # Words with one or two letters hidden, told by what is left of them.
+        #: phrase -> what it counts as, once for each kind
+        meaning: dict[str, list[tuple[str, float, bool, int]]] = defaultdict(list)
+        alone: dict[str, float] = {}
+        for n, e in enumerate(lexicon):
+            for p in phrases_of(e.phrases):
+                meaning[p].append((e.kind, e.weight, e.context, n))
+                if not e.context:
+                    alone[p] = max(e.weight, alone.get(p, 0.0))
+        for p in phrases_of(exceptions):
+            meaning[p] = []
+        for p, what in meaning.items():
+            self.auto.add_word(f" {p} ", (p, tuple(what)))
+        if meaning:
+            self.auto.make_automaton()
+        self.words = {w for p in meaning for w in p.split()}
+        #: words of phrases that can make a sentence score; without one it isn't searched
+        self.triggers = {w for p in alone for w in p.split()}
+        # Words with one or two letters hidden, told by what is left of them; the most telling words first.
         self.hidden: dict[str, str] = {}
-        for w in sorted(words, key=lambda w: (-len(w), w)):
+        telling = {w for p, what in meaning.items() if p in alone or any(e[1] and e[0] == "abuse" for e in what) for w in p.split() if len(w) > 3 or w == p}
+        for w in sorted(telling, key=lambda w: (-alone.get(w, 0.0), -len(w), w)):
             for n in (1, 2):
                 if len(w) >= 3 * n:
                     for at in combinations(range(len(w)), n):
-                        self.hidden["".join(ANY if i in at else ch for i, ch in enumerate(w))] = w
-
-        # For longer runs: words by length, those that are a phrase of their own first, of these the mildest.
-        alone: dict[str, float] = {}
-        for (_, weight), text in lexicon.items():
-            for p in _phrases(text):
-                alone[p] = max(weight, alone.get(p, 0.0))
+                        self.hidden.setdefault("".join(ANY if i in at else ch for i, ch in enumerate(w)), w)
+        # For longer runs: words by length, the mildest first.
         self.by_length: dict[int, list[str]] = defaultdict(list)
-        for w in sorted(words, key=lambda w: (w not in alone, alone.get(w, 0.0), w)):
+        for w in sorted(telling, key=lambda w: (w not in alone, alone.get(w, 0.0), w)):
             self.by_length[len(w)].append(w)
+        self.memory, self.known = memory, {}
 
     def unmasked(self, word: str) -> str:
         """A word with hidden letters filled in: one sign for each letter, else a run of signs for one.
@@ -102,8 +68,14 @@ class Scorer:
                     return w
         return self.hidden.get(_RUN.sub(ANY, word), word)
 
-    def plain(self, word: str) -> str:
-        """A word with hidden letters filled in, or a one-letter word that stuck to it taken off."""
+    def folded(self, word: str) -> str:
+        """A word with digits read as letters, hidden letters filled in, or a one-letter word that stuck to it taken off."""
+        given, word = word, fold_word(word)
+        if word not in self.words:
+            # Of a number with letters, and of a run of one letter, the reading that the lexicon knows.
+            for other in (unleeted(given), fold_word(unleeted(given)), doubled(given)):
+                if other in self.words and not given.isdigit():
+                    return other
         if ANY in word:
             return self.unmasked(word)
         if word in self.words or len(word) < 5:
@@ -111,66 +83,98 @@ class Scorer:
         if len(word) > 8:
             for start in (0, 1):
                 for k in range(start + 4, len(word) - 3):
-                    if word[start:k] in self.words and word[k:] in self.words:
-                        return " ".join(filter(None, (word[:start], word[start:k], word[k:])))
-        if word[1:] in self.words and word[0] in "aeiouy":
-            return f"{word[0]} {word[1:]}"
-        if word[:-1] in self.words and word[-1] in "aeiouy":
-            return f"{word[:-1]} {word[-1]}"
+                    a, b = word[start:k], word[k:]
+                    if a in self.words and b in self.words and (a in self.triggers or b in self.triggers):
+                        return " ".join(filter(None, (word[:start], a, b)))
+        # Short words of context are too often part of others.
+        at_end, at_start = word[1:], word[:-1]
+        if word[0] in "aeiouy" and at_end in self.words and (at_end in self.triggers or len(at_end) > 4):
+            return f"{word[0]} {at_end}"
+        if word[-1] in "aeiouy" and at_start in self.triggers:
+            return f"{at_start} {word[-1]}"
         return word
 
+    def look(self, word: str) -> tuple[str, bool]:
+        """(folded word, whether it is of a telling phrase), remembered."""
+        got = self.known.get(word)
+        if got is None:
+            if len(self.known) >= self.memory:  # only a cache
+                self.known.clear()
+            plain = self.folded(word)
+            got = self.known[word] = plain, not self.triggers.isdisjoint(plain.split(" "))
+        return got
+
     def sentence(self, words: list[str]) -> dict[str, float]:
-        """Weights by kind; of overlapping phrases the longest counts, inside exceptions none."""
-        text = " " + " ".join(map(self.plain, words)) + " "
-        found = sorted((-len(p), end - len(p), kind, w, p) for end, (kind, w, p) in self.auto.iter(text))
-        out: dict[str, float] = {}
+        """Weights by kind; of overlapping phrases the longest counts, inside exceptions none.
+
+        A phrase said again adds nothing, of a class that only counts beside another of its
+        kind one phrase of degrading, of addressing and of grouping words each counts."""
+        looked = [self.look(w) for w in words]
+        if not any(t for _, t in looked):
+            return {}
+        text = " " + " ".join(p for p, _ in looked) + " "
+        found = sorted((-len(p), end - len(p), what, p) for end, (p, what) in self.auto.iter(text))
+        told: dict[str, float] = {}
+        beside: dict[tuple[str, int], float] = {}
         taken: list[tuple[int, int]] = []
         once: set[str] = set()
-        for minus, start, kind, weight, phrase in found:
+        for minus, start, what, phrase in found:
             end = start - minus
             if any(start < b and a < end for a, b in taken):
                 continue
             taken.append((start, end))
-            if kind and phrase not in once:  # a word said again adds nothing
-                once.add(phrase)
-                out[kind] = out.get(kind, 0.0) + weight
-        return out
-
-
-def _scoring(lexicon, exceptions, threshold: float):
+            if phrase in once:
+                continue
+            once.add(phrase)
+            for kind, weight, context, n in what:
+                if context:
+                    beside[kind, n] = weight
+                else:
+                    told[kind] = told.get(kind, 0.0) + weight
+        for (kind, _), weight in beside.items():
+            if kind in told:
+                told[kind] += weight
+        return told
+
+
+def _scoring(lexicon: Sequence[Entry], exceptions: str, threshold: float):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(lexicon, exceptions)
         for texts in batches:
             rows = []
             for t in texts:
-                kinds, hits, n_words, worst = {"abuse": 0.0, "hate": 0.0, "sexual": 0.0}, 0, 0, 0.0
+                kinds, hits, n_words, worst = dict.fromkeys(KINDS, 0.0), 0, 0, 0.0
                 for words in sentences(t) if t else ():
                     n_words += len(words)
                     got = scorer.sentence(words)
-                    s = sum(got.values())
-                    worst = max(worst, s)
-                    if s >= threshold - 1e-9 and max(got.values()) >= 0.6:
-                        hits += 1
-                        for k, v in got.items():
-                            kinds[k] += v
+                    if not got:
+                        continue
+                    top = max(got.values())
+                    worst = max(worst, top)
+                    hits += top >= threshold - 1e-9
+                    for k, v in got.items():
+                        kinds[k] += v
                 total = sum(kinds.values())
                 rows.append((hits, n_words, worst, 100.0 * total / n_words if n_words else 0.0, *(100.0 * v / n_words if n_words else 0.0 for v in kinds.values())))
-            yield pd.DataFrame(rows, columns=["n_hits", "n_words", "worst", "score", "abuse", "hate", "sexual"], index=texts.index)
+            yield pd.DataFrame(rows, columns=["n_hits", "n_words", "worst", "score", *KINDS], index=texts.index)
 
     return run
 
 
-def abuse_scores(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 1.0, lexicon=None, exceptions: str | None = None) -> DataFrame:
+def abuse_scores(documents: DataFrame, key: str = "doc_id", text: str = "text", threshold: float = 1.0, lexicon: Sequence[Entry] | None = None, exceptions: str | None = None) -> DataFrame:
     """``(doc_id, source, n_hits, n_words, worst, score, abuse, hate, sexual)``, one row per document.
 
     A weighted lexicon is matched by one Aho-Corasick automaton over the words of each
     sentence, after folding look-alike letters, digits and signs typed for letters, hidden
-    letters and letters set apart.  Phrases inside an exception don't count.  ``n_hits``
-    is the number of sentences whose weights reach ``threshold``; ``score`` and the three
-    kinds are their weights per hundred words, so that long texts don't score high for
-    their length; ``worst`` is the heaviest sentence.
+    letters and letters set apart.  Phrases inside an exception don't count.  Milder words
+    add up within a kind, and some only count beside others (see ``lexicon``).
+
+    ``score`` and the three kinds are all weights found per hundred words, so that long
+    texts don't score high for their length; ``worst`` is the heaviest kind of a sentence
+    and ``n_hits`` the number of sentences where it reaches ``threshold``.
 
-    Null and blank texts score 0.  Whole texts are read; there is no shuffle."""
+    Null and blank texts score 0; a document sent twice has two rows.  Whole texts are
+    read; there is no shuffle."""
     run = F.pandas_udf(
         _scoring(lexicon or LEXICON, EXCEPTIONS if exceptions is None else exceptions, threshold),
         "n_hits int, n_words int, worst double, score double, abuse double, hate double, sexual double",

@@ -10,7 +10,7 @@ import unicodedata
 HOMOGLYPHS = {
     ord(a): b
     for a, b in zip(
-        "авсԁеғɡһіјκӏмոорԛгѕтυѵѡхуᴢαβγδεηικνορτυχωɑıℓʟ",
+        "авсԁеғɡһіјκӏмоорԛгѕтυѵѡхуᴢαβγδεηικνορτυχωɑıℓʟ",
         "abcdefghijklmnopqrstuvwxyzabydenikvoptuxwaill",
     )
 }
@@ -22,41 +22,76 @@ MASKS = "#$@*%&"
 ANY = "*"
 
 _TAG = re.compile(r"<[^<>]*>")
+_ANY_MASK = re.compile(f"[{re.escape(MASKS)}]")
 _MASK = re.compile(rf"(?<=\w)[{re.escape(MASKS)}]+(?=\w)|(?<=\w)\*+|(?<![\w])[@$](?=\w)")
-_JOINED = re.compile(r"(?<![^\W_])[^\W_](?:[-._·~]+[^\W_])+(?![^\W_])|(?<![^\W_])[^\W_](?:[-._·~ ]{1,3}[^\W_](?![^\W_])){2,}")
+_JOINED = re.compile(r"(?<![^\W_])[^\W_](?:[-._·~]+[^\W_])+(?:(?![^\W_])|(?<=[^\W_][-._·~][^\W_])[^\W_](?![^\W_]))|(?<![^\W_])[^\W_](?:[-._·~ ]{1,3}[^\W_](?![^\W_])){2,}")
+#: Without such a pair of single letters in a row nothing is joined.
+_PAIR = re.compile(r"(?<![^\W_])[^\W_][-._·~ ]{1,3}[^\W_](?![^\W_])|(?<![^\W_])[^\W_][-._·~]+[^\W_]")
 _SEPARATORS = re.compile(r"[^\w*]|_")
 _REPEATED = re.compile(r"([^*])\1{2,}")
 _WORD = re.compile(r"[^\W_*]*(?:\*+[^\W_*]+|[^\W_*]+\**)+[^\W_]*|[^\W_]+")
+_PLAIN_WORD = re.compile(r"[^\W_]+")
+_UNIT = re.compile(r"\d+[a-z]{1,4}|[a-z]{2,4}\d{3,}")
 #: Ends of sentences; after doubled marks, which also stand within one for stress, only before a capital.
-_END = re.compile(r"(?:(?<=[.?…])(?<!\?\?)|(?<=[^!]!))[\s\"'”»)]+|(?<=!!|\?\?)[\s\"'”»)]+(?=[^a-z])")
+_END = re.compile(r"(?:(?<=[.?…])(?<!\?\?)|(?<=[^!]!))[\s\"'”»)]+|(?<=!!|\?\?)[\s\"'”»)]+(?=[^a-z])|\n+")
+
+
+class _Plain(dict):
+    """Characters in compatible form without accents and invisible ones, worked out when first met."""
+
+    def __missing__(self, code: int) -> str:
+        text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", chr(code)))
+        out = self[code] = "".join(ch for ch in text if not unicodedata.combining(ch) and unicodedata.category(ch) != "Cf")
+        return out
+
+
+_PLAIN = _Plain()
 
 
 def clean(text: str) -> str:
     """Entities, tags, invisible and combining characters removed."""
-    text = _TAG.sub(" ", html.unescape(text))
-    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text))
-    text = "".join(ch for ch in text if not unicodedata.combining(ch) and unicodedata.category(ch) != "Cf")
-    return text
+    if "&" in text:
+        text = html.unescape(text)
+    if "<" in text:
+        text = _TAG.sub(" ", text)
+    return text if text.isascii() else text.translate(_PLAIN)
+
+
+def doubled(word: str) -> str:
+    """Runs of one letter cut to two."""
+    return _REPEATED.sub(r"\1\1", word)
+
+
+def unleeted(word: str) -> str:
+    """Digits of a word read as letters."""
+    return "".join(LEET.get(ch, ch) for ch in word)
 
 
 def fold_word(word: str) -> str:
-    """Digits read as letters in words that hold letters, runs of one letter cut to two."""
-    if any(ch.isdigit() for ch in word):
+    """Digits read as letters in words that hold letters, runs of one letter cut to one."""
+    if not word.isalpha():
         digits = sum(ch.isdigit() for ch in word)
         letters = sum(ch.isalpha() for ch in word)
-        if letters and (digits <= 2 * letters or digits + letters >= 5) and not re.fullmatch(r"\d+[a-z]{1,4}|[a-z]{2,4}\d{3,}", word):
-            word = "".join(LEET.get(ch, ch) for ch in word)
+        if digits and letters and (digits <= 2 * letters or digits + letters >= 5) and not _UNIT.fullmatch(word):
+            word = unleeted(word)
     return _REPEATED.sub(r"\1", word)
 
 
 def sentences(text: str) -> list[list[str]]:
-    """The folded words of every sentence; each sign that hides a letter is ``*``."""
+    """The words of every sentence in lower case, letters set apart joined, look-alikes as Latin letters and
+    each sign that hides a letter as ``*``; ``fold_word`` is left to the caller, who may know the word."""
+    text = clean(text)
+    ascii_only, masked, apart = text.isascii(), _ANY_MASK.search(text), _PAIR.search(text)
     out = []
-    for part in _END.split(clean(text)):
-        part = part.casefold().translate(HOMOGLYPHS)
-        part = _JOINED.sub(lambda m: _SEPARATORS.sub("", m.group()), part)
-        part = _MASK.sub(lambda m: ANY * len(m.group()), part)
-        words = [fold_word(w) for w in _WORD.findall(part)]
+    for part in _END.split(text):
+        part = part.casefold()
+        if not ascii_only:
+            part = part.translate(HOMOGLYPHS)
+        if apart:
+            part = _JOINED.sub(lambda m: _SEPARATORS.sub("", m.group()), part)
+        if masked:
+            part = _MASK.sub(lambda m: ANY * len(m.group()), part)
+        words = (_WORD if masked else _PLAIN_WORD).findall(part)
         if words:
             out.append(words)
     return out
