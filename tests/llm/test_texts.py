@@ -7,7 +7,7 @@ import pytest
 
 from vitrine.llm.abuse import Scorer, abuse_scores, rates_by_source
 from vitrine.llm.folding import sentences
-from vitrine.llm.leakage import leaked, suffix_array, without_leaks, words_of
+from vitrine.llm.leakage import ItemSet, leaked, shard_matches, suffix_array, without_leaks, words_of
 from vitrine.llm.lexicon import EXCEPTIONS, LEXICON
 
 WORDS = [f"w{i}" for i in range(400)]
@@ -31,7 +31,7 @@ def brute(docs, items, seed=4, gap=2, passage=8, least=0.4):
         a = words_of(d or "")
         for k, t in items:
             b = words_of(t or "")
-            if len(b) < seed:
+            if not b:
                 continue
             covered = set()
             for diagonal in range(-len(b), len(a)):
@@ -44,7 +44,7 @@ def brute(docs, items, seed=4, gap=2, passage=8, least=0.4):
                         cur = []
                     cur.append(j)
                 pieces.append(cur)
-                pieces = [p for p in pieces if len(p) >= seed]
+                pieces = [p for p in pieces if len(p) >= min(seed, len(b))]
                 for p in pieces:
                     if run and p[0] - run[-1] - 1 <= gap:
                         run = list(range(run[0], p[-1] + 1))
@@ -85,10 +85,31 @@ def test_leak_edges(spark):
     got = leaked(d, e)
     rows = sorted((r["doc_id"], r["item_id"], r["longest"], r["doc_word"]) for r in got.collect())
     assert rows == [(3, 7, 30, 0), (3, 7, 30, 0), (4, 7, 30, 100_000)]
+    short = leaked(spark.createDataFrame([(1, "It is too, short!"), (2, "too long, short")], "doc_id long, text string"), e)
+    assert [(r["doc_id"], r["item_id"], r["longest"]) for r in short.collect()] == [(1, 9, 2)]
     assert sorted(r["doc_id"] for r in without_leaks(d, got).collect() if r["doc_id"]) == [1, 2, 5]
     assert leaked(d.limit(0), e).count() == 0 and leaked(d, e.limit(0)).count() == 0
 
 
+def test_leaks_in_a_rich_vocabulary_and_with_a_phrase_everywhere(spark):
+    rng = random.Random(9)
+    rich = [(k, " ".join(f"v{k * 500 + j}" for j in range(500))) for k in range(220)]
+    items = rich + [(1000 + k, f"one of the best {' '.join(rng.choices(WORDS, k=14))}") for k in range(30)]
+    docs = [(i, f"one of the best {' '.join(rng.choices(WORDS, k=10))} one of the best") for i in range(400)] + [(9000, "so " + rich[7][1]), (9001, items[-1][1])]
+    got = leaked(spark.createDataFrame(docs, "doc_id long, text string").repartition(2), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted((r["doc_id"], r["item_id"], r["longest"]) for r in got.collect()) == [(9000, 7, 500), (9001, 1029, 18)]
+
+
+def test_places_in_parts_agree():
+    rng = np.random.default_rng(3)
+    test = ItemSet([(k, [f"w{x}" for x in rng.integers(0, 5, 30)]) for k in range(6)], 4)
+    tokens = np.append(rng.integers(0, 6, 3000), 0)
+    place, doc = np.arange(3001), np.zeros(3001, np.int64)
+    whole = [np.concatenate(x) for x in zip(*shard_matches(tokens, place, doc, test, 2, 5))]
+    parts = [np.concatenate(x) for x in zip(*shard_matches(tokens, place, doc, test, 2, 5, most=50))]
+    assert len(whole[0]) and all((a == b).all() for a, b in zip(whole, parts))
+
+
 @pytest.mark.parametrize(
     "text",
     ["Fuck you and your lamp.", "f u c k you", "You are a st*pid 1d10t, never touch a lamp again.", "Drop dеаd, all of you.", "drop d​ead", "Send n#des.", "Halt die Fresse!", "i-d-i-o-t, shut your mouth",
