@@ -117,13 +117,46 @@ def exact_tail(n, probabilities):
     return sum(p[n:])
 
 
-@pytest.mark.parametrize("scale,n", [(0.02, 1), (0.02, 5), (0.02, 9), (0.3, 60), (0.3, 110), (0.3, 75)])
+@pytest.mark.parametrize("scale,n", [(0.02, 1), (0.02, 2), (0.02, 5), (0.02, 9), (0.02, 200), (0.3, 60), (0.3, 110), (0.3, 75), (0.3, 439), (0.9, 250), (0.9, 300), (0.9, 440), (0.9, 441)])
 def test_poisson_binomial_tail(scale, n):
     q = np.array([[0.2, 0.5, 1.0]]) * scale
     m = np.array([200.0, 150.0, 90.0])
     want = exact_tail(n, np.repeat(q[0], m.astype(int)))
     got = upper_tail(np.array([n]), q, m)[0]
-    assert abs(math.log(got) - math.log(want)) < 0.02
+    assert got == want == 0 or abs(math.log(got) - math.log(want)) < 1e-6
+
+
+@pytest.mark.parametrize("trials,chance,n", [(25, 0.7, 20), (30, 0.6, 24), (5, 0.2, 4), (40, 0.95, 30), (300, 0.5, 120), (2000, 0.5, 1100), (2000, 0.5, 900), (2000, 0.5, 1000)])
+def test_binomial_tail(trials, chance, n):
+    log = lambda k: math.lgamma(trials + 1) - math.lgamma(k + 1) - math.lgamma(trials - k + 1) + k * math.log(chance) + (trials - k) * math.log(1 - chance)
+    want = sum(math.exp(log(k)) for k in range(n, trials + 1))
+    got = upper_tail(np.array([n]), np.array([[chance]]), np.array([float(trials)]))[0]
+    assert got == pytest.approx(want, rel=2e-3)
+    assert upper_tail(np.array([n]), np.array([[chance]]), np.array([float(trials)]), exact=5.0)[0] == pytest.approx(want, rel=3e-2, abs=1e-4)
+
+
+def test_tail_of_huge_counts():
+    m = np.array([4e6, 3e6])
+    n = np.array([10**6, 10**6, 10**5, 5])
+    q = np.array([[0.1428, 0.1428], [0.001, 0.9], [1e-7, 1e-6], [1e-7, 1e-6]])
+    p = upper_tail(n, q, m)
+    assert 0 < p[0] < 1 and p[1] == 1 and p[2] == 0 and p[3] == pytest.approx(sum(math.exp(-3.4) * 3.4**k / math.factorial(k) for k in range(5, 60)), rel=1e-4)
+    sd = math.sqrt(7e6 * 0.1428 * 0.8572)
+    assert p[0] == pytest.approx(0.5 * math.erfc((10**6 - 0.5 - 7e6 * 0.1428) / sd / math.sqrt(2)), rel=0.02)
+
+
+def test_surprise_against_sums_over_baskets(spark):
+    rng = random.Random(17)
+    sets = [rng.sample(range(14), rng.choice([2, 3, 5, 9])) for _ in range(60)]
+    members = spark.createDataFrame([(f"s{k}", f"i{m:02d}") for k, ms in enumerate(sets) for m in ms], "s string, m string")
+    rows = surprise(members).collect()
+    deg = {f"i{m:02d}": sum(m in x for x in sets) for m in range(14)}
+    sizes = [len(x) for x in sets]
+    x, y = fit_null(np.array([float(v) for v in deg.values()]), np.ones(len(deg)), np.array([float(v) for v in sizes]), np.ones(len(sizes)))
+    fit = dict(zip(deg, x))
+    for r in rows[::5]:
+        chance = [fit[r["item_a"]] * v / (1 + fit[r["item_a"]] * v) * fit[r["item_b"]] * v / (1 + fit[r["item_b"]] * v) for v in y]
+        assert r["expected"] == pytest.approx(sum(chance), rel=1e-5) and r["p_value"] == pytest.approx(exact_tail(r["n_ab"], chance), rel=1e-4)
 
 
 def test_null_meets_degrees():
