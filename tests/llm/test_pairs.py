@@ -39,6 +39,12 @@ def test_nearest_recall(spark):
     want = brute_neighbors(vectors, 5)
     hits = sum(len(got[i] & set(w)) for i, w in want.items())
     assert hits / (5 * len(want)) >= 0.98
+    # Cut into regions of four lists, each with a graph of its own.
+    got = {}
+    for r in nearest(df, 16, 5, list_size=60, graph_lists=4, sample=400).collect():
+        got.setdefault(r["id"], set()).add(r["neighbor_id"])
+    hits = sum(len(got[i] & set(w)) for i, w in want.items())
+    assert hits / (5 * len(want)) >= 0.95 and all(len(v) == 5 for v in got.values())
 
 
 def test_vector_edges(spark):

@@ -7,32 +7,40 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitrine.runtime import cut
 
-#: Vectors the centroids are fitted on (a sample; every vector is indexed and searched).
+#: Vectors that the centroids of a collection, or of a region of it, are fitted on (a sample; every vector is indexed and searched).
 SAMPLE = 50_000
-#: Vectors a posting list is meant to hold, and the most centroids there are.
+#: Vectors a posting list is meant to hold.
 LIST_SIZE = 200
-MAX_CENTROIDS = 65_536
-#: Rows of a list, and queries of it, that one task takes at once; larger ones are split.
-CELL = 8_000
+#: Lists up to which one graph of centroids serves all; larger collections are cut into regions with a graph each.
+GRAPH_LISTS = 16_384
+#: Lists of neighbouring centroids that are searched by one task, so that a vector is sent there once for all of them.
+GROUP_LISTS = 16
+#: Members, and queries, that one task takes of a group at once; larger groups are split both ways.
+CELL = 16_000
 
 
 @dataclass(frozen=True)
 class Search:
     """How lists are chosen: members go to centroids within ``member_ratio`` of the
     nearest one's distance (at most ``replicas``), queries look in those within
-    ``query_ratio`` (at most ``probes``)."""
+    ``query_ratio`` (at most ``probes``).  Regions are chosen likewise, by ratios of
+    their own."""
 
     member_ratio: float = 1.1
     replicas: int = 3
     query_ratio: float = 1.6
     probes: int = 16
     beam: int = 32
+    region_member_ratio: float = 1.02
+    region_query_ratio: float = 1.2
+    region_probes: int = 4
 
 
 def usable_vectors(vectors: DataFrame, manifest: DataFrame) -> tuple[DataFrame, int]:
@@ -150,112 +158,233 @@ class CentroidGraph:
         return ids, sims
 
 
+def _chosen(graph: CentroidGraph, q: np.ndarray, how: Search) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, list, member) of the lists that every vector is looked for in, the row's lists in order of their numbers."""
+    rows, lists, member = [], [], []
+    for at in range(0, len(q), 1000):
+        ids, sims = graph.search(q[at : at + 1000], how.beam)
+        dist = np.sqrt(np.maximum(0.0, 2 - 2 * sims.astype(np.float64)))
+        ok = sims > -9
+        mine = ok & (dist <= how.member_ratio * dist[:, :1] + 1e-6)
+        probe = ok & (dist <= how.query_ratio * dist[:, :1] + 1e-6)
+        mine[:, how.replicas :], probe[:, how.probes :] = False, False
+        r, c = np.nonzero(probe)
+        sort = np.lexsort((ids[r, c], r))
+        rows.append(r[sort] + at)
+        lists.append(ids[r, c][sort])
+        member.append(mine[r, c][sort])
+    return (np.concatenate(rows), np.concatenate(lists), np.concatenate(member)) if rows else (np.zeros(0, np.int64),) * 3
+
+
+ASSIGNED = "region int, grp int, id string, vec binary, lists array<int>, member array<boolean>, owned boolean"
+
+
+def _grouped(ids: pa.Array, vecs: pa.Array, region: int, home: np.ndarray, graph: CentroidGraph, dim: int, how: Search) -> pa.RecordBatch:
+    """One row per vector and group of lists, as ``ASSIGNED``; in regions that aren't a vector's ``home`` it is no member."""
+    row, lists, member = _chosen(graph, np.frombuffer(b"".join(vecs.to_pylist()), "<f4").reshape(-1, dim), how)
+    member = member & home[row]
+    grp = lists // GROUP_LISTS
+    heads = np.flatnonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (grp[1:] != grp[:-1])])) if len(row) else np.zeros(0, np.int64)
+    ends = pa.array(np.append(heads, len(row)), pa.int32())
+    take = pa.array(row[heads])
+    owned = np.logical_or.reduceat(member, heads) if len(heads) else np.zeros(0, bool)
+    columns = [
+        pa.array(np.full(len(heads), region), pa.int32()), pa.array(grp[heads], pa.int32()), ids.take(take), vecs.take(take),
+        pa.ListArray.from_arrays(ends, pa.array(lists, pa.int32())), pa.ListArray.from_arrays(ends, pa.array(member)), pa.array(owned),
+    ]
+    return pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in ASSIGNED.split(", ")])
+
+
 def _assign(graph: CentroidGraph, dim: int, how: Search):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 1000):
-                part = pdf.iloc[at : at + 1000]
-                ids, sims = graph.search(unpack(part["vec"], dim), how.beam)
-                dist = np.sqrt(np.maximum(0.0, 2 - 2 * sims.astype(np.float64)))
-                ok = sims > -9
-                member = ok & (dist <= how.member_ratio * dist[:, :1] + 1e-6)
-                probe = ok & (dist <= how.query_ratio * dist[:, :1] + 1e-6)
-                member[:, how.replicas :], probe[:, how.probes :] = False, False
-                yield part.assign(
-                    lists=[i[p].tolist() for i, p in zip(ids, probe)], member=[m[p].tolist() for m, p in zip(member, probe)]
-                )[["id", "vec", "lists", "member"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _grouped(batch.column("id"), batch.column("vec"), 0, np.ones(batch.num_rows, bool), graph, dim, how)
 
     return run
 
 
-def _best(dim: int, k: int):
+def _regions(graph: CentroidGraph, dim: int, how: Search):
+    """``(region, home, id, vec)``: the regions a vector is looked for in, and whether it belongs there."""
+    near = Search(how.region_member_ratio, 2, how.region_query_ratio, how.region_probes, how.beam)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                row, region, home = _chosen(graph, unpack(batch.column("vec").to_pylist(), dim), near)
+                take = pa.array(row)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(region, pa.int32()), pa.array(home), batch.column("id").take(take), batch.column("vec").take(take)], names=["region", "home", "id", "vec"]
+                )
+
+    return run
+
+
+def _fit_region(dim: int, list_size: int, how_many: str = "n"):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        is_member = pdf["member"].to_numpy(bool)
-        is_query = pdf["query"].to_numpy(bool)
-        vec, ids = unpack(pdf["vec"], dim), pdf["id"].to_numpy()
-        m_rows, q_rows = np.flatnonzero(is_member), np.flatnonzero(is_query)
-        if not len(m_rows) or not len(q_rows):
-            return pd.DataFrame({"id": [], "near": []}, dtype=object)
-        m, m_ids = vec[m_rows], ids[m_rows]
-        out_ids, out = [], []
-        take = min(k + 1, len(m))  # the query itself may be among them
-        for at in range(0, len(q_rows), 512):
-            rows = q_rows[at : at + 512]
-            s = vec[rows] @ m.T
-            top = np.argpartition(-s, take - 1, 1)[:, :take]
-            # Similarities once more in double precision: equal for a pair wherever it is met.
-            exact = (vec[rows].astype(np.float64)[:, None, :] * m[top].astype(np.float64)).sum(2)
-            for i, r in enumerate(rows):
-                found = sorted((-e, j) for e, j in zip(exact[i].tolist(), m_ids[top[i]].tolist()) if j != ids[r])[:k]
-                out_ids.append(ids[r])
-                out.append([{"d": d, "i": j} for d, j in found])
-        return pd.DataFrame({"id": out_ids, "near": out})
+        x = unpack(pdf["vec"], dim)
+        c = balanced_centroids(x, max(1.0, len(x) * list_size / float(pdf[how_many].iloc[0])))
+        return pd.DataFrame({"region": np.full(len(c), pdf["region"].iloc[0], np.int32), "at": np.arange(len(c), dtype=np.int32), "vec": [v.tobytes() for v in c.astype("<f4")]})
 
     return run
 
 
-def build_graph(vectors: DataFrame, dim: int, n: int, list_size: int, sample: int) -> CentroidGraph | None:
-    if not n:
-        return None
+def _assign_in_region(dim: int, how: Search):
+    def run(vectors: pa.Table, centroids: pa.Table) -> pa.Table:
+        schema = pa.schema([("region", pa.int32()), ("grp", pa.int32()), ("id", pa.string()), ("vec", pa.binary()), ("lists", pa.list_(pa.int32())), ("member", pa.list_(pa.bool_())), ("owned", pa.bool_())])
+        if not vectors.num_rows or not centroids.num_rows:
+            return schema.empty_table()
+        c = centroids.sort_by("at")
+        graph = CentroidGraph(unpack(c.column("vec").to_pylist(), dim))
+        v = vectors.combine_chunks()
+        ids, vecs = v.column("id").combine_chunks(), v.column("vec").combine_chunks()
+        home = v.column("home").to_numpy(zero_copy_only=False).astype(bool)
+        return pa.Table.from_batches([_grouped(ids, vecs, int(v.column("region")[0].as_py()), home, graph, dim, how)]).cast(schema)
+
+    return run
+
+
+def _sampled(vectors: DataFrame, n: int, sample: int) -> DataFrame:
     keep = 1 << 20
     share = min(keep, int(keep * sample / n) + 1)
-    rows = vectors.where(F.pmod(F.xxhash64("id"), F.lit(keep)) < share).select("vec").toPandas() if share < keep else vectors.select("vec").toPandas()
-    x = unpack(rows["vec"], dim)
-    lists = min(MAX_CENTROIDS, max(1, n // list_size))
-    return CentroidGraph(balanced_centroids(x, max(1.0, len(x) / lists)))
+    return vectors.where(F.pmod(F.xxhash64("id"), F.lit(keep)) < share) if share < keep else vectors
+
+
+def build_graph(vectors: DataFrame, dim: int, n: int, lists: int, sample: int) -> CentroidGraph:
+    x = unpack(_sampled(vectors, n, sample).select("vec").toPandas()["vec"], dim)
+    return CentroidGraph(balanced_centroids(x, max(1.0, len(x) / max(1, lists))))
 
 
-def nearest(vectors: DataFrame, dim: int, k: int = 5, how: Search = Search(), list_size: int = LIST_SIZE, sample: int = SAMPLE) -> DataFrame:
+def assigned(groups: DataFrame, dim: int, n: int, how: Search, list_size: int, sample: int, graph_lists: int) -> DataFrame:
+    """Every vector with the groups of lists it is looked for in (``ASSIGNED``).
+
+    Up to ``graph_lists`` lists, one graph over all centroids is sent to the tasks.  Beyond
+    that, coarse centroids cut the collection into regions of so many lists each, whose
+    centroids are fitted region by region in the tasks, each on a sample of its own; so
+    lists stay the same size however large the collection is."""
+    vectors = groups.select("id", "vec")
+    lists = max(1, n // list_size)
+    if lists <= graph_lists:
+        return vectors.mapInArrow(_assign(build_graph(groups, dim, n, lists, sample), dim, how), ASSIGNED)
+    coarse = build_graph(groups, dim, n, -(-lists // graph_lists), sample)
+    placed = cut(vectors.mapInArrow(_regions(coarse, dim, how), "region int, home boolean, id string, vec binary"))
+    sizes = cut(placed.groupBy("region").agg(F.count_if("home").alias("n"), F.ceil(F.count(F.lit(1)) / sample).cast("int").alias("parts")))
+    keep = 1 << 20
+    share = F.least(F.lit(keep), F.floor(F.lit(float(keep)) * sample / F.col("n")).cast("long") + 1)
+    fitted = placed.where("home").join(F.broadcast(sizes), "region").where(F.pmod(F.xxhash64("id"), F.lit(keep)) < share)
+    centroids = cut(fitted.select("region", "n", "vec").groupBy("region").applyInPandas(_fit_region(dim, list_size), "region int, at int, vec binary"))
+    # As many rows as there are regions, each of ``graph_lists`` lists.
+    split = placed.join(F.broadcast(sizes.select("region", "parts")), "region").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    spread = centroids.join(F.broadcast(sizes.select("region", "parts")), "region").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    both = split.select("region", "part", "home", "id", "vec").groupBy("region", "part").cogroup(spread.select("region", "part", "at", "vec").groupBy("region", "part"))
+    return both.applyInArrow(_assign_in_region(dim, how), ASSIGNED)
+
+
+FOUND = "id string, near array<struct<d double, i string>>"
+
+
+def _best(dim: int, k: int):
+    """The ``k`` nearest members of the lists of one group, for each of its queries."""
+    kind = pa.list_(pa.struct([("d", pa.float64()), ("i", pa.string())]))
+
+    def run(table: pa.Table) -> pa.Table:
+        t = table.combine_chunks()
+        ids = t.column("id").to_numpy(zero_copy_only=False).astype(object)
+        vec = unpack(t.column("vec").to_pylist(), dim)
+        as_query = t.column("query").to_numpy(zero_copy_only=False).astype(bool)
+        as_member = t.column("as_member").to_numpy(zero_copy_only=False).astype(bool)
+        lists, member = t.column("lists").combine_chunks(), t.column("member").combine_chunks()
+        row = np.repeat(np.arange(len(ids)), np.diff(lists.offsets.to_numpy()))
+        at, is_member = lists.flatten().to_numpy(), member.flatten().to_numpy(zero_copy_only=False).astype(bool) & as_member[row]
+        rank = np.unique(ids.astype(str), return_inverse=True)[1]  # one id may be here as member and as query
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        for number in np.unique(at):
+            here = at == number
+            m_rows, q_rows = row[here & is_member], row[here & as_query[row]]
+            if not len(m_rows) or not len(q_rows):
+                continue
+            m, take = vec[m_rows], min(k + 1, len(m_rows))  # the query itself may be among them
+            for begin in range(0, len(q_rows), 1024):
+                rows = q_rows[begin : begin + 1024]
+                s = vec[rows] @ m.T
+                top = np.argpartition(-s, take - 1, 1)[:, :take]
+                found.append((np.repeat(rows, take), m_rows[top].ravel(), s[np.arange(len(rows))[:, None], top].ravel()))
+        if not found:
+            return pa.table({"id": pa.array([], pa.string()), "near": pa.array([], kind)})
+        q, m, s = (np.concatenate(x) for x in zip(*found))
+        other = rank[q] != rank[m]
+        q, m, s = q[other], m[other], s[other]
+        # A member of several lists counts once; then the k + 1 best of each query, so that rounding can't lose one.
+        _, once = np.unique(q * len(ids) + m, return_index=True)
+        q, m, s = q[once], m[once], s[once]
+        sort = np.lexsort((-s, q))
+        q, m = q[sort], m[sort]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        q, m = q[place <= k], m[place <= k]
+        # Similarities once more in double precision: equal for a pair wherever it is met.
+        exact = np.empty(len(q))
+        for begin in range(0, len(q), 65_536):
+            part = slice(begin, begin + 65_536)
+            exact[part] = (vec[q[part]].astype(np.float64) * vec[m[part]].astype(np.float64)).sum(1)
+        sort = np.lexsort((rank[m], -exact, q))
+        q, m, exact = q[sort], m[sort], exact[sort]
+        place = np.arange(len(q)) - np.searchsorted(q, q, "left")
+        q, m, exact = q[place < k], m[place < k], exact[place < k]
+        heads = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
+        near = pa.StructArray.from_arrays([pa.array(-exact), pa.array(ids[m], pa.string())], fields=list(kind.value_type))
+        return pa.table({"id": pa.array(ids[q[heads]], pa.string()), "near": pa.ListArray.from_arrays(pa.array(np.append(heads, len(q)), pa.int32()), near)})
+
+    return run
+
+
+def nearest(
+    vectors: DataFrame, dim: int, k: int = 5, how: Search = Search(), list_size: int = LIST_SIZE, sample: int = SAMPLE, graph_lists: int = GRAPH_LISTS
+) -> DataFrame:
     """``(id, neighbor_id, similarity, pos)``: about the ``k`` most similar others of every vector, by cosine.
 
     ``vectors(id, embedding)``, ids distinct.  Centroids are fitted by repeated splitting
-    on at most some ``sample`` vectors, so the posting lists are balanced; their number
-    grows with the data.  A graph over the centroids finds those near a vector.  Vectors
-    between clusters are members of several lists; a query looks into all lists whose
-    centroid is within a ratio of the nearest one's distance.  Lists and their queries
-    are matched block by block; those too large for one task are split both ways.
+    on samples of some ``sample`` vectors, so the posting lists are balanced; their number
+    grows with the data (``assigned``).  A graph over the centroids finds those near a
+    vector.  Vectors between clusters are members of several lists; a query looks into all
+    lists whose centroid is within a ratio of the nearest one's distance.  Neighbouring
+    lists form a group that one task searches, list by list; groups too large for one task
+    are split both ways.
 
     Vectors that are equal after scaling are searched for once; each copy then gets
     its own copies (smallest ids first) and the copies of what was found.  Equal
     similarities are ordered by id.  One vector alone, and an empty input, give no rows."""
-    packed = cut(vectors.mapInPandas(_pack(dim), "id string, vec binary")) if dim else None
     empty = vectors.select("id", F.col("id").alias("neighbor_id"), F.lit(0.0).alias("similarity"), F.lit(1).alias("pos")).limit(0)
-    if packed is None:
+    if not dim:
         return empty
+    packed = vectors.mapInPandas(_pack(dim), "id string, vec binary")
     groups = cut(packed.groupBy("vec").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")))
-    n = groups.count()
-    graph = build_graph(groups, dim, n, list_size, sample)
-    if graph is None:
+    n, copied = groups.agg(F.count(F.lit(1)), F.count_if(F.col("copies") > 1)).first()
+    if not n:
         return empty
-    lists = cut(groups.select("id", "vec").mapInPandas(_assign(graph, dim, how), "id string, vec binary, lists array<long>, member array<boolean>"))
-    rows = lists.select("id", "vec", F.explode(F.arrays_zip("lists", "member")).alias("l")).select(
-        "id", "vec", F.col("l.lists").alias("list"), F.col("l.member").alias("member")
-    )
-    sizes = rows.groupBy("list").agg(F.count_if("member").alias("m"), F.count(F.lit(1)).alias("q"))
+    rows = cut(assigned(groups, dim, n, how, list_size, sample, graph_lists))
+    sizes = rows.groupBy("region", "grp").agg(F.count_if("owned").alias("m"), F.count(F.lit(1)).alias("q"))
     large = sizes.where((F.col("m") > CELL) | (F.col("q") > CELL)).select(
-        "list", F.ceil(F.col("m") / CELL).cast("int").alias("ms"), F.ceil(F.col("q") / CELL).cast("int").alias("qs")
+        "region", "grp", F.ceil(F.col("m") / CELL).cast("int").alias("ms"), F.ceil(F.col("q") / CELL).cast("int").alias("qs")
     )
-    marked = rows.join(large, "list", "left").fillna(1, ["ms", "qs"])
+    marked = rows.join(large, ["region", "grp"], "left").fillna(1, ["ms", "qs"])
     h = F.xxhash64("id")
     m_cell, q_cell = F.pmod(h, F.col("ms").cast("long")).cast("int"), F.pmod(h, F.col("qs").cast("long")).cast("int")
-    # A member meets every block of queries, a query every block of members; where both are the same cell, as one row.
+    # A member meets every block of queries, a query every block of members; where the group is one block, as one row.
     whole = (F.col("ms") == 1) & (F.col("qs") == 1)
-    one = marked.where(whole).select("list", F.lit(0).alias("mc"), F.lit(0).alias("qc"), "id", "vec", "member", F.lit(True).alias("query"))
+    out = ["region", "grp", "mc", "qc", "id", "vec", "lists", "member", "as_member", "query"]
+    one = marked.where(whole).withColumns({"mc": F.lit(0), "qc": F.lit(0), "as_member": F.col("owned"), "query": F.lit(True)}).select(out)
     split = marked.where(~whole)
-    as_member = split.where("member").select(
-        "list", m_cell.alias("mc"), F.explode(F.sequence(F.lit(0), F.col("qs") - 1)).alias("qc"), "id", "vec", F.lit(True).alias("member"), F.lit(False).alias("query")
-    )
-    as_query = split.select(
-        "list", F.explode(F.sequence(F.lit(0), F.col("ms") - 1)).alias("mc"), q_cell.alias("qc"), "id", "vec", F.lit(False).alias("member"), F.lit(True).alias("query")
-    )
+    all_q, all_m = F.explode(F.sequence(F.lit(0), F.col("qs") - 1)), F.explode(F.sequence(F.lit(0), F.col("ms") - 1))
+    as_member = split.where("owned").withColumns({"mc": m_cell, "as_member": F.lit(True), "query": F.lit(False)}).withColumn("qc", all_q).select(out)
+    as_query = split.withColumns({"qc": q_cell, "as_member": F.lit(False), "query": F.lit(True)}).withColumn("mc", all_m).select(out)
     cells = one.unionByName(as_member).unionByName(as_query)
-    found = cells.groupBy("list", "mc", "qc").applyInPandas(_best(dim, k), "id string, near array<struct<d double, i string>>")
+    found = cells.groupBy("region", "grp", "mc", "qc").applyInArrow(_best(dim, k), FOUND)
     merged = found.groupBy("id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("near")))), 1, k).alias("near"))
-    base = merged.select("id", F.explode("near").alias("x")).select("id", F.col("x.i").alias("neighbor_id"), (-F.col("x.d")).alias("similarity"))
-    if groups.where("copies > 1").limit(1).count():
-        base = _with_copies(packed, groups, base, k)
+    base = merged.select("id", F.posexplode("near").alias("at", "x")).select("id", F.col("x.i").alias("neighbor_id"), (-F.col("x.d")).alias("similarity"), (F.col("at") + 1).alias("pos"))
+    if not copied:
+        return base
     w = Window.partitionBy("id").orderBy(F.col("similarity").desc(), "neighbor_id")
-    return base.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
+    return _with_copies(packed, groups, base.drop("pos"), k).withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= k)
 
 
 def _with_copies(packed: DataFrame, groups: DataFrame, base: DataFrame, k: int) -> DataFrame:
