@@ -13,7 +13,7 @@ from vitrine.llm.topn import top_n_per_group
 
 REF = [
     (1, "brand", "Acme Works", ["ACW", "Acme"]), (2, "brand", "Acme Worms", []), (3, "brand", "Bolt & Sons", None),
-    (4, "category", "Garden & Patio", ["yard"]), (5, "category", "Garden", []), (6, None, "Nobody", []), (7, "brand", None, ["Zed Labs"]),
+    (4, "category", "Garden & Patio", ["yard"]), (5, "category", "Garden", []), (6, None, "Nobody", []), (7, "brand", None, ["Zed Labs"]), (8, "brand", "Lumen Harbour Trading", None),
 ]
 
 
@@ -26,6 +26,7 @@ def ref(spark):
     [
         ("brand", "ACME WORKS", 1), ("brand", "Visit the Acme Works Official Store", 1), ("brand", "Acm3 W0rks", 1), ("brand", "Ac.me-Works®", 1),
         ("brand", "acw", 1), ("brand", "Acme Wroks", 1), ("brand", "Acme Worms™", 2), ("brand", "Bolt and Sons GmbH", 3), ("brand", "Sons & Bolt", 3),
+        ("brand", "Lumen Harbour", 8), ("brand", "Harbour Lumen", 8), ("brand", "Lumen", -1), ("brand", "Tradnig Lumen Harbor", 8), ("brand", "Ac meWo rks", 1),
         ("brand", "Zed Lábs", 7), ("brand", "Some Other", -1), ("brand", "???", -1), ("category", "Home > Garden &amp; Patio > Pots", 4),
         ("category", "Patio & Garden", 5), ("category", "Yard", 4), ("category", "yardstick", -1), ("missing", "Acme", -1),
     ],

@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.runtime import MAX_BROADCAST_ROWS, cut
+from vitrine.runtime import MAX_BROADCAST_ROWS, cut, parallelism
 
 #: Words that sellers put around a name and that are no part of one (fixed values).
 NOISE = frozenset("a an and by brand co company corp gmbh inc llc ltd limited n of official sa store the visit und y".split())
@@ -25,12 +25,11 @@ _WORD = re.compile(r"[^\W_]+(?:[@$][^\W_]+)*")
 
 def name_tokens(value: str) -> list[str]:
     """Lower-case words of a name without accents, signs, entities and look-alike digits."""
-    text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", _SIGNS.sub(" ", html.unescape(value)))).casefold()
-    text = "".join(ch for ch in text if not unicodedata.combining(ch) and unicodedata.category(ch) != "Cf")
-    out = []
-    for word in _WORD.findall(text):
-        out.append(word.translate(LOOKALIKES) if any(ch.isalpha() for ch in word) else word)
-    return out
+    text = _SIGNS.sub(" ", html.unescape(value) if "&" in value else value)
+    if not text.isascii():
+        text = unicodedata.normalize("NFKD", unicodedata.normalize("NFKC", text))
+        text = "".join(ch for ch in text if not unicodedata.combining(ch) and unicodedata.category(ch) != "Cf")
+    return [w if w.isalpha() or not any(ch.isalpha() for ch in w) else w.translate(LOOKALIKES) for w in _WORD.findall(text.casefold())]
 
 
 def edit_distance(a: str, b: str, most: int) -> int:
@@ -57,17 +56,33 @@ def _grams(s: str) -> set[str]:
     return {padded[i : i + 2] for i in range(len(padded) - 1)}
 
 
+#: Likeness from which two words count as spellings of one, and letters from which a word may be misspelt.
+SAME_WORD, SPELT = 0.75, 4
+
+
 class Matcher:
-    """Names and aliases of one field: an automaton for mentions, bigrams for likeness."""
+    """Names and aliases of one field: an automaton for mentions, sets of words that may be misspelt for likeness."""
 
     def __init__(self, entries: list[tuple[int, str]], least: float):
         import ahocorasick
 
         self.least = least
+        #: sets of words of the entries, the entries of each word, and the words of each pair of letters
+        self.sets: list[tuple[frozenset[str], int]] = []
+        self.having: dict[str, list[int]] = defaultdict(list)
+        self.by_gram: dict[str, list[str]] = defaultdict(list)
+        self._spelt: dict[str, list[tuple[str, float]]] = {}
         self.forms: list[tuple[str, int]] = []
         best: dict[str, int] = {}
         for ref, name in entries:
             tokens = [t for t in name_tokens(name) if t not in NOISE] or name_tokens(name)
+            if tokens:
+                for t in set(tokens):
+                    if t not in self.having and len(t) >= SPELT:
+                        for g in _grams(t):
+                            self.by_gram[g].append(t)
+                    self.having[t].append(len(self.sets))
+                self.sets.append((frozenset(tokens), ref))
             for form in {"".join(tokens), "".join(sorted(tokens))} - {""}:
                 best[form] = min(ref, best.get(form, ref))
         self.exact = best
@@ -95,7 +110,8 @@ class Matcher:
         if mention is not None:
             length, start, ref = mention
             return ref, 1.0, "mention", length, start
-        return *self._alike(kept), 0, 0
+        found = self._word_set(kept)
+        return *(found if found[0] >= 0 else self._joined(kept)), 0, 0
 
     def mention(self, tokens: list[str]) -> tuple[int, int, int] | None:
         """(length, start, ref_id) of the longest name found from word start to word end, of several the first."""
@@ -113,48 +129,91 @@ class Matcher:
         length, start, ref = min(found)
         return -length, start, ref
 
-    def _alike(self, tokens: list[str]) -> tuple[int, float, str]:
-        """Likeness of the joined words, in the given and in sorted order, by edits over length."""
+    def _spellings(self, word: str) -> list[tuple[str, float]]:
+        """Words of the entries that are ``word`` or a spelling of it, with their likeness."""
+        got = self._spelt.get(word)
+        if got is None:
+            if len(self._spelt) > 100_000:  # only a cache
+                self._spelt.clear()
+            got = [(word, 1.0)] if word in self.having else []
+            shared: dict[str, int] = defaultdict(int)
+            grams = _grams(word) if len(word) >= SPELT else ()
+            for g in grams:
+                for w in self.by_gram.get(g, ()):
+                    shared[w] += 1
+            for w, n in shared.items():
+                longest = max(len(word), len(w))
+                most = int((1 - SAME_WORD) * longest + 1e-9)
+                # One edit changes at most three bigrams; repeated bigrams only make the count smaller.
+                if w != word and n >= min(len(grams), len(w)) - 3 * most:
+                    d = edit_distance(word, w, most)
+                    if d <= most:
+                        got.append((w, 1 - d / longest))
+            self._spelt[word] = got
+        return got
+
+    def _word_set(self, tokens: list[str]) -> tuple[int, float, str]:
+        """Token-set similarity: twice the likeness of the words two sets share, over the sizes of both.
+
+        Each word of the value goes to one of the entry at most, the most alike pairs first."""
+        words = sorted(set(tokens))
+        pairs: dict[int, list[tuple[float, str, str]]] = defaultdict(list)
+        for word in words:
+            for w, like in self._spellings(word):
+                for k in self.having[w]:
+                    pairs[k].append((-like, word, w))
+        top: tuple[float, int] | None = None
+        for k, found in pairs.items():
+            entry, ref = self.sets[k]
+            if 2 * len(found) < self.least * (len(words) + len(entry)) - 1e-9:
+                continue
+            mine, theirs, total = set(), set(), 0.0
+            for minus, word, w in sorted(found):
+                if word not in mine and w not in theirs:
+                    mine.add(word)
+                    theirs.add(w)
+                    total -= minus
+            score = 2 * total / (len(words) + len(entry))
+            if score >= self.least - 1e-9 and (top is None or (-score, ref) < top):
+                top = (-score, ref)
+        return (top[1], -top[0], "alike") if top else (-1, 0.0, "none")
+
+    def _joined(self, tokens: list[str]) -> tuple[int, float, str]:
+        """For values whose blanks are set wrongly: the joined words, in the given and in sorted order, by edits over length."""
         top: tuple[float, int] | None = None
         for form in {"".join(tokens), "".join(sorted(tokens))} - {""}:
             shared: dict[int, int] = defaultdict(int)
-            for g in _grams(form):
+            grams = _grams(form)
+            for g in grams:
                 for k in self.index.get(g, ()):
                     shared[k] += 1
             for k, n in shared.items():
                 other, ref = self.forms[k]
                 longest = max(len(form), len(other))
                 most = int((1 - self.least) * longest + 1e-9)
-                # One edit changes at most three bigrams; repeated bigrams only make the count smaller.
-                if most < 1 or n < min(len(_grams(form)), len(_grams(other))) - 3 * most:
+                if most < 1 or abs(len(form) - len(other)) > most or n < min(len(grams), len(_grams(other))) - 3 * most:
                     continue
                 d = edit_distance(form, other, most)
                 if d <= most and (top is None or (d / longest - 1, ref) < top):
                     top = (d / longest - 1, ref)
-        return (top[1], -top[0], "alike") if top else (-1, 0.0, "none")
+        return (top[1], -top[0], "joined") if top else (-1, 0.0, "none")
+
+
+MATCHED = "field string, value string, ref_id int, likeness double, method string, length int, start int"
+#: Methods in the order in which answers of several lists are compared.
+METHODS = ("none", "joined", "alike", "mention")
 
 
-def _mapper(entries: dict[str, list[tuple[int, str]]], least: float, memory: int):
+def _mapper(entries: dict[str, list[tuple[int, str]]], least: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         matchers = {f: Matcher(e, least) for f, e in entries.items()}
-        known: dict[tuple[str, str], tuple[int, float, str, int, int]] = {}
+        columns = [c.split()[0] for c in MATCHED.split(", ")]
         for pdf in batches:
-            if len(known) > memory:  # only a cache of results, so it may be emptied at any time
-                known.clear()
-            out = []
-            for key in zip(pdf["field"], pdf["value"]):
-                if key not in known:
-                    m = matchers.get(key[0])
-                    known[key] = m.ranked(key[1]) if m else (-1, 0.0, "none", 0, 0)
-                out.append(known[key])
-            refs, alike, method, length, start = zip(*out) if out else ((), (), (), (), ())
-            yield pdf.assign(
-                ref_id=pd.Series(refs, index=pdf.index, dtype="int32"),
-                likeness=pd.Series(alike, index=pdf.index, dtype="float64"),
-                method=pd.Series(method, index=pdf.index, dtype="object"),
-                length=pd.Series(length, index=pdf.index, dtype="int32"),
-                start=pd.Series(start, index=pdf.index, dtype="int32"),
-            )
+            rows = []
+            for field, value in zip(pdf["field"], pdf["value"]):
+                m = matchers.get(field)
+                rows.append((field, value, *(m.ranked(value) if m else (-1, 0.0, "none", 0, 0))))
+            yield pd.DataFrame(rows, columns=columns)
 
     return run
 
@@ -175,20 +234,22 @@ def reference_blocks(reference: DataFrame, block: int) -> list[dict[str, list[tu
     return [dict(b) for b in blocks]
 
 
-def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8, block: int = MAX_BROADCAST_ROWS, memory: int = 200_000) -> DataFrame:
+def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8, block: int = MAX_BROADCAST_ROWS) -> DataFrame:
     """``values(id, field, value)`` plus ``ref_id, likeness, method``.
 
     ``reference(ref_id, field, name, aliases)``.  A multi-pattern automaton over all names
     and aliases finds those mentioned in a value (whole words, blanks and punctuation
     apart); of the mentions the longest non-overlapping ones win, and of several the
-    longest, then the first.  Values without a mention go to likeness: words joined in
-    typed and in sorted order, edits over length, ``least`` at least.  Equal likeness
-    goes to the smaller ``ref_id``.  Method is ``mention``, ``alike`` or ``none``
-    (``ref_id`` -1, the report of unmatched values).
+    longest, then the first.  Values without a mention go to token-set similarity, where
+    words spelt nearly alike count by their likeness, ``least`` at least; what that leaves
+    is compared joined, as blanks may be set wrongly.  Equal likeness goes to the smaller
+    ``ref_id``.  Method is ``mention``, ``alike``, ``joined`` or ``none`` (``ref_id`` -1, the
+    report of unmatched values).
 
-    No shuffle: each task maps its own rows, remembering the values it has seen.  The
-    list goes to the tasks in blocks of ``block`` entries; of several blocks' answers
-    the best by the same rules counts, which costs one pass a block and one aggregation.
+    Every distinct value is matched once, spread over all tasks, and its answer joined
+    back (sent to all tasks only where there are at most ``MAX_BROADCAST_ROWS``).  The list
+    goes to the tasks in blocks of ``block`` entries; of several blocks' answers the best
+    by the same rules counts.
 
     Null or blank values and null fields give no row.  Entries without a name count by
     their aliases; a field without entries is unmatched.  Texts of any length are
@@ -196,18 +257,22 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8
     rows = values.select(F.col("id").cast("string").alias("id"), F.col("field").cast("string").alias("field"), F.col("value").cast("string").alias("value")).where(
         F.col("field").isNotNull() & F.col("value").rlike(r"[^\p{Z}\s]")
     )
-    schema = "id string, field string, value string, ref_id int, likeness double, method string, length int, start int"
+    parts = parallelism(values.sparkSession)
+    distinct = rows.select("field", "value").distinct().repartition(parts, "value", "field")
     blocks = reference_blocks(reference, block)
-    if len(blocks) == 1:
-        return rows.mapInPandas(_mapper(blocks[0], least, memory), schema).drop("length", "start")
-    # Rows are told apart by a number of their own, so repeated ones stay; kept, so that every block sees the same.
-    rows = cut(rows.withColumn("row", F.monotonically_increasing_id()))
-    parts = [rows.mapInPandas(_mapper(b, least, memory), "row long, " + schema) for b in blocks]
-    rank = F.struct(
-        (F.col("method") == "mention").alias("m"), F.col("length").alias("n"), (-F.col("start")).alias("s"), F.col("likeness").alias("l"), (-F.col("ref_id")).alias("r"), F.col("method").alias("how")
-    )
-    best = reduce(DataFrame.unionByName, parts).groupBy("row", "id", "field", "value").agg(F.max(rank).alias("b"))
-    return best.select("id", "field", "value", (-F.col("b.r")).alias("ref_id"), F.col("b.l").alias("likeness"), F.col("b.how").alias("method"))
+    if len(blocks) > 1:
+        distinct = cut(distinct)  # so that it is told once, not once a block
+    answers = [distinct.mapInPandas(_mapper(b, least), MATCHED) for b in blocks]
+    best = answers[0]
+    if len(blocks) > 1:
+        order = F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))
+        rank = F.struct(order.alias("m"), F.col("length").alias("n"), (-F.col("start")).alias("s"), F.col("likeness").alias("l"), (-F.col("ref_id")).alias("r"))
+        best = reduce(DataFrame.unionByName, answers).groupBy("field", "value").agg(F.max(F.struct(rank, "method")).alias("b"))
+        best = best.select("field", "value", (-F.col("b.col1.r")).alias("ref_id"), F.col("b.col1.l").alias("likeness"), F.col("b.method").alias("method"))
+    best = cut(best.select("field", "value", "ref_id", "likeness", "method"))
+    if best.count() <= MAX_BROADCAST_ROWS:
+        best = F.broadcast(best)
+    return rows.join(best, ["field", "value"]).select("id", "field", "value", "ref_id", "likeness", "method")
 
 
 def typed_values(records: DataFrame, fields: list[str], key: str = "id") -> DataFrame:
