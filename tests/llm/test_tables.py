@@ -89,6 +89,8 @@ def test_top_n(spark, cells):
     df = df.withColumn("computed_at", df["computed_at"].cast("timestamp"))
     got = sorted((r["id"], r["neighbor_id"], r["pos"]) for r in top_n_per_group(df, 5, cells=cells).collect())
     assert got == brute_top(rows, 5)
+    for large in (20, 150):
+        assert got == sorted((r["id"], r["neighbor_id"], r["pos"]) for r in top_n_per_group(df, 5, cells=cells, large=large).collect())
     assert top_n_per_group(df.limit(0), 5).count() == 0
     with pytest.raises(ValueError):
         top_n_per_group(df, 0)
