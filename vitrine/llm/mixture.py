@@ -4,19 +4,36 @@ from __future__ import annotations
 
 import base64
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from vitrine.runtime import collect_bounded, cut
+from vitrine.runtime import MAX_BROADCAST_ROWS, cut
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary splits texts before merging (fixed value of the public tokenizer).
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _PIECE = 100_000
+_GAP = re.compile(r"(?<=\S)\s")
+
+
+def pieces(text: str, size: int = _PIECE) -> list[str]:
+    """A text in parts of about ``size`` characters, cut where white space begins, which leaves its tokens as
+    they are; only words longer than ``size`` are cut within."""
+    out, at = [], 0
+    while len(text) - at > size:
+        m = _GAP.search(text, at + size, at + 2 * size)
+        end = m.start() if m else at + 2 * size
+        out.append(text[at:end])
+        at = end
+    return [*out, text[at:]]
+
+
 
 
 def _counter(path: str):
@@ -30,7 +47,7 @@ def _counter(path: str):
             out = []
             for t in texts:
                 # Very long texts are counted piece by piece, all of them.
-                out.append(0 if t is None else sum(len(enc.encode_ordinary(t[i : i + _PIECE])) for i in range(0, len(t), _PIECE)))
+                out.append(0 if t is None else sum(len(enc.encode_ordinary(x)) for x in pieces(t)))
             yield pd.Series(out, index=texts.index, dtype="int64")
 
     return run
@@ -49,7 +66,9 @@ def normal_source(c):
 
 @dataclass
 class Tilt:
-    """The dual solution of one source: copies of a document at ``min(cap, exp(rate * tokens / mean))``."""
+    """The dual solution of one source: copies of a document at ``min(cap, exp(rate * tokens / mean))``.
+
+    Where the dual has no finite solution, as even the cap everywhere doesn't reach the goal, ``rate`` is infinite."""
 
     source: str
     goal: float
@@ -61,6 +80,11 @@ class Tilt:
     high: float = math.inf
     done: bool = False
 
+    @property
+    def short(self) -> bool:
+        """Whether the solution is at its cap everywhere and still under the goal."""
+        return self.goal > self.cap * self.total and (math.isinf(self.rate) and self.rate > 0 or self.cap == 0)
+
 
 def _tilted(counts: DataFrame, tilts: list[Tilt]) -> DataFrame:
     spark = counts.sparkSession
@@ -69,7 +93,7 @@ def _tilted(counts: DataFrame, tilts: list[Tilt]) -> DataFrame:
     z = F.col("n_tokens") / F.col("mean")
     # Beyond 40 the cap holds anyway; the bound keeps exp() finite.
     grown = F.exp(F.least(F.lit(40.0), F.col("rate") * z))
-    joined = counts.join(F.broadcast(rates), "source")  # as many rows as there are sources in the target table
+    joined = counts.join(F.broadcast(rates), "source")  # as many rows as there are sources in a block of targets
     return joined.withColumn("z", z).withColumn("weight", F.least(F.col("cap"), grown)).withColumn("free", grown < F.col("cap"))
 
 
@@ -86,33 +110,34 @@ def balance(counts: DataFrame, targets: DataFrame, total: float | None = None, t
     ``counts(source, n_tokens)``, ``targets(source, target_share, max_repeats)``; sources
     are compared trimmed and lower-cased.  ``total`` is the size of the mix, by default
     that of all documents."""
-    rows = collect_bounded(targets.where("source is not null"), max_sources)
-    if rows is None:
-        raise ValueError(f"more than {max_sources} sources in the targets")
+    wanted = (
+        targets.select(normal_source(F.col("source")).alias("source"), F.coalesce(F.col("target_share").cast("double"), F.lit(0.0)).alias("share"), F.coalesce(F.col("max_repeats").cast("int"), F.lit(0)).alias("cap"))
+        .where("source is not null").groupBy("source").agg(F.sum("share").alias("share"), F.max("cap").alias("cap"))
+    )
     sums = counts.groupBy("source").agg(F.sum("n_tokens").alias("t"), F.count_if(F.col("n_tokens") > 0).alias("n"))
     if total is None:
         total = float(counts.agg(F.sum("n_tokens")).first()[0] or 0)
-    goals: dict[str, tuple[float, int]] = {}
-    for r in rows:
-        s = r["source"].strip().lower()
-        share, cap = goals.get(s, (0.0, 0))
-        goals[s] = (share + float(r["target_share"] or 0.0), max(cap, int(r["max_repeats"] or 0)))
-    spark = counts.sparkSession
-    wanted = spark.createDataFrame([(s,) for s in goals], "source string")
-    have = {r["source"]: (float(r["t"] or 0), r["n"]) for r in sums.join(F.broadcast(wanted), "source").collect()} if goals else {}
-    tilts = []
-    for s, (share, cap) in sorted(goals.items()):
-        t, n = have.get(s, (0.0, 0))
-        tilt = Tilt(s, share * total, cap, t, t / n if n else 0.0)
-        if tilt.goal >= cap * t:
-            tilt.rate, tilt.done = math.inf if cap > 0 else -math.inf, True
+    tilts: list[Tilt] = []
+    for r in wanted.join(sums, "source", "left").orderBy("source").toLocalIterator():
+        t, n = float(r["t"] or 0), r["n"] or 0
+        tilt = Tilt(r["source"], r["share"] * total, r["cap"], t, t / n if n else 0.0)
+        if tilt.goal >= tilt.cap * t:
+            tilt.rate, tilt.done = math.inf if tilt.cap > 0 else -math.inf, True
         elif tilt.goal <= 0:
             tilt.rate, tilt.done = -math.inf, True
         tilts.append(tilt)
+    # Sources don't depend on each other, given the total, so any number of them is worked through in blocks.
+    for at in range(0, len(tilts), max_sources):
+        _solve(counts, tilts[at : at + max_sources], tolerance, rounds)
+    return tilts
+
+
+def _solve(counts: DataFrame, tilts: list[Tilt], tolerance: float, rounds: int) -> None:
+    """Newton steps for all sources at once, each one distributed aggregation."""
     for _ in range(rounds):
         todo = [t for t in tilts if not t.done]
         if not todo:
-            break
+            return
         x = _tilted(counts, todo)
         stats = x.groupBy("source").agg(
             F.sum(F.col("weight") * F.col("n_tokens")).alias("f"),
@@ -135,7 +160,8 @@ def balance(counts: DataFrame, targets: DataFrame, total: float | None = None, t
             t.rate = step
             if t.high - t.low < 1e-12:
                 t.done = True
-    return tilts
+    if not all(t.done for t in tilts):
+        raise RuntimeError(f"no balance after {rounds} rounds")
 
 
 def _counts(documents: DataFrame, key: str, ranks: str) -> DataFrame:
@@ -146,25 +172,48 @@ def _counts(documents: DataFrame, key: str, ranks: str) -> DataFrame:
 def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 7, ranks: str = DEFAULT_RANKS) -> tuple[DataFrame, DataFrame]:
     """(copies, report).
 
-    ``copies(doc_id, source, n_tokens, copies)``: how often each document is taken, its
-    rate rounded up with the probability of its fraction, by a hash of the key, so runs
-    agree.  Documents of sources without a target and null sources are taken 0 times.
+    ``copies(doc_id, source, n_tokens, copies)``: how often each document is taken, by
+    systematic rounding of the rates, so runs agree.  Documents of sources without a
+    target and null sources are taken 0 times.
     ``report(source, target_share, actual_share, tokens, mixed_tokens, max_repeats,
     short)``, one row per target; ``short`` where the cap keeps the source under its target."""
     counts = _counts(documents, key, ranks)
     return copies_of(counts, tilts := balance(counts, targets), key, seed), _report(counts, targets, tilts, key, seed)
 
 
+#: Parts of a copy that rates are told in, so that their sums are whole numbers and agree between runs.
+UNIT = 1 << 16
+#: Width of the classes of sizes, and documents of a class that one task takes.
+SIZE_STEP, CLASS_ROWS = 1.1, 1_000_000
+
+
 def copies_of(counts: DataFrame, tilts: list[Tilt], key: str, seed: int) -> DataFrame:
-    finite = [Tilt(t.source, t.goal, t.cap, t.total, t.mean, max(-1e9, min(1e9, t.rate))) for t in tilts]
+    """Whole copies by systematic rounding: along the documents of a source in order of their size, each
+    gets as many as whole numbers lie between the rates summed up before and with it, so the tokens
+    of a source are off by some documents' only.
+
+    The sums run within classes of like sizes, large ones cut by a hash, and what lies
+    before each of them is summed up apart: no task takes a whole source."""
     spark = counts.sparkSession
-    rows = [(t.source, float(t.rate), float(t.mean or 1.0), float(t.cap)) for t in finite]
+    rows = [(t.source, max(-1e9, min(1e9, float(t.rate))), float(t.mean or 1.0), float(t.cap)) for t in tilts]
     rates = spark.createDataFrame(rows, "source string, rate double, mean double, cap double")
-    chance = F.pmod(F.xxhash64("doc", F.lit(seed)), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    rates = F.broadcast(rates) if len(rows) <= MAX_BROADCAST_ROWS else rates
     tilted = F.exp(F.least(F.lit(40.0), F.greatest(F.lit(-700.0), F.col("rate") * F.col("n_tokens") / F.col("mean"))))
-    weight = F.coalesce(F.least(F.col("cap"), tilted), F.lit(0.0))
-    taken = counts.join(F.broadcast(rates), "source", "left").withColumn("copies", F.floor(weight + chance).cast("int"))
-    return taken.select(F.col("doc").alias(key), "source", "n_tokens", "copies")
+    units = F.round(F.least(F.col("cap"), tilted) * UNIT).cast("long")
+    size = F.floor(F.log1p("n_tokens") / F.lit(math.log(SIZE_STEP))).cast("int")
+    rated = counts.join(rates, "source").select("doc", "source", "n_tokens", "cap", units.alias("units"), size.alias("size"), F.xxhash64("doc", F.lit(seed)).alias("h"))
+    classes = rated.groupBy("source", "size").agg(F.ceil(F.count(F.lit(1)) / CLASS_ROWS).alias("parts"))
+    parted = rated.join(classes, ["source", "size"]).withColumn("part", F.pmod("h", "parts"))
+    sums = parted.groupBy("source", "size", "part").agg(F.sum("units").alias("all"))
+    order = Window.partitionBy("source").orderBy("size", "part")
+    start = F.pmod(F.xxhash64("source", F.lit(seed)), F.lit(UNIT))
+    before = sums.withColumn("before", F.sum("all").over(order) - F.col("all") + start).drop("all")
+    within = Window.partitionBy("source", "size", "part").orderBy("n_tokens", "h", "doc").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = parted.join(before, ["source", "size", "part"]).withColumn("to", F.col("before") + F.sum("units").over(within))
+    whole = F.floor(F.col("to") / UNIT) - F.floor((F.col("to") - F.col("units")) / UNIT)
+    taken = summed.select("doc", "source", "n_tokens", F.least(whole, F.col("cap")).cast("int").alias("copies"))
+    none = counts.join(rates.select("source"), "source", "left_anti")
+    return taken.unionByName(none.select("doc", "source", "n_tokens", F.lit(0).alias("copies"))).withColumnRenamed("doc", key)
 
 
 def _report(counts: DataFrame, targets: DataFrame, tilts: list[Tilt], key: str, seed: int) -> DataFrame:
@@ -173,9 +222,9 @@ def _report(counts: DataFrame, targets: DataFrame, tilts: list[Tilt], key: str,
         F.sum("n_tokens").alias("tokens"), F.sum(F.col("n_tokens") * F.col("copies")).alias("mixed_tokens")
     )
     goal_sum = sum(t.goal for t in tilts) or 1.0
-    rows = [(t.source, t.goal, t.cap, t.goal > t.cap * t.total) for t in tilts]
+    rows = [(t.source, t.goal, t.cap, t.short) for t in tilts]
     goals = spark.createDataFrame(rows, "source string, goal double, max_repeats int, short boolean")
-    per = F.broadcast(goals).join(taken, "source", "left")
+    per = goals.join(taken, "source", "left")
     per = per.fillna(0, ["tokens", "mixed_tokens"])
     whole = per.agg(F.sum("mixed_tokens").alias("m"))
     return per.select(
