@@ -217,7 +217,7 @@ class Reader:
         }
 
 
-FACTS = "id string, leaf string, maker string, size string, amount double, colour string, pack int, gen int, code string, words array<string>, opened array<boolean>, branded array<boolean>"
+FACTS = "id string, leaf string, above array<string>, maker string, size string, amount double, colour string, pack int, gen int, code string, words array<string>, opened array<boolean>, branded array<boolean>"
 
 
 ANSWERS = "id string, role string, mention boolean, length int, start int, likeness double, ref_id int, names array<string>"
@@ -266,10 +266,10 @@ def read_all(entries: list[tuple[int, str]], least: float, resolved: bool = Fals
         for pdf in batches:
             rows = []
             found = pdf["found"] if resolved else [None] * len(pdf)
-            for i, t, d, b, leaf, a, f in zip(pdf["id"], pdf["title"], pdf["description"], pdf["brand"], pdf["leaf"], pdf["attributes"], found):
+            for i, t, d, b, leaf, above, a, f in zip(pdf["id"], pdf["title"], pdf["description"], pdf["brand"], pdf["leaf"], pdf["above"], pdf["attributes"], found):
                 if resolved:
                     reader.resolve([] if f is None else f)
-                rows.append({"id": i, "leaf": leaf, **reader.read(t, d, b, [] if a is None else [(x["key"], x["value"]) for x in a])})
+                rows.append({"id": i, "leaf": leaf, "above": above, **reader.read(t, d, b, [] if a is None else [(x["key"], x["value"]) for x in a])})
             out = pd.DataFrame(rows, columns=columns)
             out["pack"], out["gen"] = out["pack"].astype("int32"), out["gen"].astype("int32")
             out["amount"] = out["amount"].astype("float64")

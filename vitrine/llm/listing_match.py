@@ -33,10 +33,11 @@ def facts_of(listings: DataFrame, makers: DataFrame, least: float = 0.8, known:
 
     More than ``known`` of these are looked up in blocks, of whose answers the best counts
     as in ``map_to_canonical``; the facts are the same as with one block."""
-    leaf = F.lower(F.btrim(F.get("subcategories", F.size("subcategories") - 1)))
-    leaf = F.when(F.size("subcategories") > 0, F.nullif(leaf, F.lit("")))
+    path = F.transform("subcategories", lambda x: F.lower(F.btrim(x)))
+    leaf = F.when(F.size("subcategories") > 0, F.nullif(F.element_at(path, -1), F.lit("")))
+    above = F.when(F.size("subcategories") > 1, F.slice(path, 1, F.size("subcategories") - 1))
     columns = listings.where("id is not null").select(
-        F.col("id").cast("string").alias("id"), "title", "description", "brand", leaf.alias("leaf"), F.map_entries("attributes").alias("attributes")
+        F.col("id").cast("string").alias("id"), "title", "description", "brand", leaf.alias("leaf"), above.alias("above"), F.map_entries("attributes").alias("attributes")
     )
     # Reading is the longest step: on as many cores as there are, however small the table.
     columns = columns.repartition(parallelism(listings.sparkSession), "id")
@@ -55,17 +56,20 @@ def facts_of(listings: DataFrame, makers: DataFrame, least: float = 0.8, known:
     return columns.join(found, "id", "left").mapInPandas(read_all([], least, resolved=True), FACTS)
 
 
-def types_stated(listings: DataFrame) -> DataFrame:
-    """``(leaf, n)``: the last levels of the category paths, but for those that are a higher level of other paths."""
-    path = F.transform("subcategories", lambda x: F.lower(F.btrim(x)))
-    paths = listings.select(path.alias("p")).where(F.size("p") > 0)
-    last = paths.groupBy(F.element_at("p", -1).alias("leaf")).agg(F.count(F.lit(1)).alias("n"))
-    above = paths.where(F.size("p") > 1).select(F.explode(F.slice("p", 1, F.size("p") - 1)).alias("leaf")).distinct()
-    return last.where("leaf <> ''").join(above, "leaf", "left_anti")
+def listed(rows: DataFrame) -> DataFrame:
+    """A table written once; sent to all tasks by joins only where it has few enough rows."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= MAX_BROADCAST_ROWS else rows
+
+
+def types_stated(facts: DataFrame) -> DataFrame:
+    """``(leaf, of_type)``: the last levels of the category paths, but for those that are a higher level of other paths."""
+    last = facts.where("leaf is not null").groupBy("leaf").agg(F.count(F.lit(1)).alias("of_type"))
+    return last.join(facts.select(F.explode("above").alias("leaf")).distinct(), "leaf", "left_anti")
 
 
 def listing_words(facts: DataFrame, types: DataFrame) -> DataFrame:
-    """``(w, role, kinds)``: what each word of two listings or more is, as the listings show.
+    """``(w, role, kinds)``: what the words of two listings or more are, as the listings show.
 
     ``type``: a usual word of some type and much rarer elsewhere; ``kinds`` are the types
     its listings state, with their shares, so other names of a type are learned.
@@ -75,11 +79,11 @@ def listing_words(facts: DataFrame, types: DataFrame) -> DataFrame:
     Every figure is an aggregate over all listings; a code group counts by its sums, so a
     hot one is a row."""
     zipped = F.explode(F.arrays_zip("words", "opened", "branded")).alias("x")
-    rows = facts.join(types.select("leaf", F.lit(True).alias("is_type")), "leaf", "left").select("code", F.when(F.col("is_type"), F.col("leaf")).alias("leaf"), zipped)
-    rows = rows.select("code", "leaf", F.col("x.words").alias("w"), "x.opened", "x.branded")
-    per_leaf = rows.groupBy("w", "leaf").agg(F.count(F.lit(1)).alias("n"), F.count_if("opened").alias("o"), F.count_if("branded").alias("b"))
+    typed = facts.join(types, "leaf", "left")
+    rows = typed.select("code", F.when(F.col("of_type").isNotNull(), F.col("leaf")).alias("leaf"), "of_type", zipped)
+    rows = rows.select("code", "leaf", "of_type", F.col("x.words").alias("w"), "x.opened", "x.branded")
+    usual = rows.groupBy("w", "leaf").agg(F.count(F.lit(1)).alias("n"), F.count_if("opened").alias("o"), F.count_if("branded").alias("b"), F.first("of_type").alias("of_type"))
     # The types of a word that matter, told by how usual the word is for them.
-    usual = per_leaf.join(types.select("leaf", F.col("n").alias("of_type")), "leaf", "left")
     stated = F.when(F.col("leaf").isNotNull(), F.col("n"))
     top = F.struct(F.col("n").alias("n"), F.col("of_type").alias("of_type"), F.col("leaf").alias("kind"))
     # A type with few listings may have a word by chance, hence two at least.
@@ -91,7 +95,7 @@ def listing_words(facts: DataFrame, types: DataFrame) -> DataFrame:
     shared = rows.where("code is not null").groupBy("code", "w").agg(F.count(F.lit(1)).alias("c")).join(sizes, "code")
     again = shared.groupBy("w").agg(F.sum("c").alias("seen"), F.sum(F.col("c") * (F.col("c") - 1) / (F.col("size") - 1)).alias("again"))
     # Two tables of one row.
-    totals = facts.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("all_typed"))))
+    totals = facts.agg(F.count(F.lit(1)).alias("total")).crossJoin(F.broadcast(types.agg(F.coalesce(F.sum("of_type"), F.lit(0)).alias("all_typed"))))
     joined = words.join(again, "w", "left").crossJoin(F.broadcast(totals))
     n, all_typed = F.col("total"), F.col("all_typed")
     elsewhere = lambda k: (F.col("typed") - k["n"]) / F.greatest(F.lit(1), all_typed - k["of_type"])
@@ -106,7 +110,8 @@ def listing_words(facts: DataFrame, types: DataFrame) -> DataFrame:
     )
     meant = F.filter(kinds, lambda k: k["n"] >= TYPE_MEANT * F.col("typed"))
     kinds = F.transform(meant, lambda k: F.struct(k["kind"].alias("kind"), (k["n"] / F.col("typed")).alias("share")))
-    return joined.select("w", role.alias("role"), F.when(role == "type", kinds).alias("kinds")).where("role is not null")
+    rows = joined.select("w", role.alias("role"), F.when(role == "type", kinds).alias("kinds"))
+    return rows.where("role in ('type', 'line', 'maker')")
 
 
 def described(facts: DataFrame, types: DataFrame, words: DataFrame) -> DataFrame:
@@ -114,19 +119,17 @@ def described(facts: DataFrame, types: DataFrame, words: DataFrame) -> DataFrame
 
     The type is the one stated, else the one its words share most, if no other one as
     much; where no maker was read, the maker's words are the maker."""
-    useful = words.where("role in ('type', 'line', 'maker')")
-    said = facts.select("id", F.posexplode("words").alias("at", "w")).join(useful, "w")
+    said = facts.select("id", F.posexplode("words").alias("at", "w")).join(words, "w")
     votes = said.groupBy("id").agg(
         F.array_sort(F.collect_set(F.when(F.col("role") == "line", F.col("w")))).alias("lines"), F.flatten(F.collect_list("kinds")).alias("votes"),
         F.array_sort(F.collect_list(F.when(F.col("role") == "maker", F.struct("at", "w")))).alias("makers"),
     )
-    known = types.select("leaf", F.lit(True).alias("is_type"))
-    rows = facts.drop("words", "opened", "branded").join(known, "leaf", "left").join(votes, "id", "left")
+    rows = facts.drop("words", "opened", "branded", "above").join(types, "leaf", "left").join(votes, "id", "left")
     total = lambda kind: F.aggregate(F.filter("votes", lambda v: v["kind"] == kind), F.lit(0.0), lambda s, v: s + v["share"])
     named = F.array_distinct(F.transform("votes", lambda v: v["kind"]))
     rows = rows.withColumn("ranked", F.sort_array(F.transform(named, lambda k: F.struct(F.round(total(k), 6).alias("sum"), k.alias("kind"))), asc=False))
     clear = F.coalesce(F.get("ranked", F.lit(0))["sum"] > F.get("ranked", F.lit(1))["sum"], F.lit(True))
-    kind = F.coalesce(F.when(F.col("is_type"), F.col("leaf")), F.when(clear, F.get("ranked", F.lit(0))["kind"]))
+    kind = F.coalesce(F.when(F.col("of_type").isNotNull(), F.col("leaf")), F.when(clear, F.get("ranked", F.lit(0))["kind"]))
     lines = F.coalesce("lines", F.array().cast("array<string>"))
     own = F.filter(F.transform("makers", lambda m: m["w"]), lambda w: ~w.isin(*sorted(NOISE)))
     maker = F.coalesce("maker", F.when(F.size(own) > 0, F.concat(F.lit("t"), F.array_join(own, ""))))
@@ -141,18 +144,21 @@ def _snapped(amount):
 
 
 def _tokens(nodes: DataFrame) -> DataFrame:
-    """``(node, token, blocking)``: every token of a listing; its code and the words of its line make blocks."""
+    """``(node, token, blocking, cells)``: every token of a listing; its code and the words of its line make blocks, with their cells."""
     one = lambda name, c: F.when(c.isNotNull(), F.concat_ws("|", F.lit(name), c))
     col = F.col
     size = F.when(col("size").isNotNull(), F.concat_ws("|", "size", F.coalesce(col("amount").cast("string"), F.lit(""))))
-    blocking = F.concat(F.transform("lines", lambda x: F.concat(F.lit("line|"), x)), F.array(one("code", col("code"))))
+    line = F.transform("lines", lambda x: F.concat(F.lit("line|"), x))
     others = F.array(one("maker", col("maker")), one("type", col("kind")), one("size", size), one("colour", col("colour")), one("pack", col("pack")), one("gen", col("gen")))
-    entry = lambda xs, b: F.transform(F.filter(xs, lambda x: x.isNotNull()), lambda x: F.struct(x.alias("token"), F.lit(b).alias("blocking")))
-    return nodes.select("node", F.explode(F.concat(entry(blocking, True), entry(others, False))).alias("t")).select("node", "t.*")
+    by_code, by_facts = _cells()
+    none = F.array().cast("array<string>")
+    entry = lambda xs, b, cells: F.transform(F.filter(xs, lambda x: x.isNotNull()), lambda x: F.struct(x.alias("token"), F.lit(b).alias("blocking"), cells.alias("cells")))
+    entries = F.concat(entry(F.array(one("code", col("code"))), True, by_code), entry(line, True, by_facts), entry(others, False, none))
+    return nodes.select("node", F.explode(entries).alias("t")).select("node", "t.*")
 
 
-def _cells(block):
-    """The cells of a listing in a large block: tokens that the rules ask for, so no pair is lost.
+def _cells():
+    """The cells of a listing in a large block, of a code or of a word: tokens that the rules ask for, so no pair is lost.
 
     Two listings that ``verified`` joins share a cell.  Without a common code they agree in
     type, size, colour, pack and generation, and amounts ``SAME_AMOUNT`` apart lie in the
@@ -165,7 +171,7 @@ def _cells(block):
     maker = F.when(F.col("maker").startswith("t"), F.lit("t")).otherwise(F.col("maker"))
     stated = F.col("size").isNotNull() & F.col("colour").isNotNull() & F.col("kind").isNotNull() & F.col("maker").isNotNull()
     by_facts = F.when(stated, F.transform(steps, lambda x: F.concat_ws("|", "size", x, "colour", "pack", "gen", "kind", maker))).otherwise(F.array().cast("array<string>"))
-    return F.when(block.startswith("code|"), F.array(F.concat_ws("|", "pack", "gen"))).otherwise(by_facts)
+    return F.array(F.concat_ws("|", "pack", "gen")), by_facts
 
 
 def candidate_edges(nodes: DataFrame, large: int = LARGE_BLOCK) -> tuple[DataFrame, DataFrame]:
@@ -174,18 +180,17 @@ def candidate_edges(nodes: DataFrame, large: int = LARGE_BLOCK) -> tuple[DataFra
     A block of more than ``large`` listings is cut into cells, overlapping and no finer
     than ``verified``, so no pair that it joins is lost; however big a cell is,
     ``pairs_of_sets`` spreads it."""
-    tokens = cut(_tokens(nodes))
+    tokens = _tokens(nodes)
     n = nodes.agg(F.count(F.lit(1))).scalar()
     # Tokens of one listing weigh nothing in any edge.
-    sizes = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    marked = cut(tokens.join(sizes, "token").withColumn("rarity", F.log1p(F.lit(1.0) * n / F.col("n"))))
-    weights = marked.groupBy("node").agg(F.collect_list(F.struct("token", "rarity")).alias("tokens"))
-    blocks = marked.where("blocking")
-    whole = blocks.where(F.col("n") <= large).select(F.col("token").alias("s"), F.col("node").alias("m"))
-    facts = nodes.select("node", "kind", "size", "amount", "colour", "pack", "gen", "maker")
-    split = blocks.where(F.col("n") > large).select("token", "node").join(facts, "node").select("token", F.col("node").alias("m"), F.explode(_cells(F.col("token"))).alias("cell"))
-    sets = whole.unionByName(split.select(F.concat_ws("|", "token", F.lit("cell"), "cell").alias("s"), "m"))
-    return pairs_of_sets(sets).select("a", "b").distinct(), weights
+    sizes = listed(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    marked = tokens.join(sizes, "token")
+    weights = marked.groupBy("node").agg(F.collect_list(F.struct("token", F.log1p(F.lit(1.0) * n / F.col("n")).alias("rarity"))).alias("tokens"))
+    cells = F.when(F.col("n") <= large, F.array(F.lit(""))).otherwise(F.col("cells"))
+    blocks = marked.where("blocking").select(F.col("token"), F.col("node").alias("m"), F.explode(cells).alias("cell"))
+    sets = cut(blocks.select(F.concat_ws("|", "token", F.lit("cell"), "cell").alias("s"), "m"))
+    largest = sets.groupBy("s").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return pairs_of_sets(sets, split=largest > 256).select("a", "b").distinct(), weights
 
 
 def weighted(edges: DataFrame, weights: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -198,14 +203,14 @@ def weighted(edges: DataFrame, weights: DataFrame, nodes: DataFrame) -> DataFram
 
 
 def pruned(edges: DataFrame, share: float = 0.25) -> DataFrame:
-    """Edges that weigh at least ``share`` of the mean edge of one of their two listings."""
+    """Edges that hold and weigh at least ``share`` of the mean edge of one of their two listings."""
     ends = edges.select(F.col("a").alias("node"), "weight").unionByName(edges.select(F.col("b").alias("node"), "weight"))
     least = ends.groupBy("node").agg((F.avg("weight") * share).alias("least"))
     return (
-        edges.join(least.withColumnsRenamed({"node": "a", "least": "la"}), "a")
+        edges.where("holds").join(least.withColumnsRenamed({"node": "a", "least": "la"}), "a")
         .join(least.withColumnsRenamed({"node": "b", "least": "lb"}), "b")
         .where(F.col("weight") >= F.least("la", "lb"))
-        .drop("la", "lb")
+        .select("a", "b")
     )
 
 
@@ -263,8 +268,9 @@ def same_items(listings: DataFrame, makers: DataFrame, large: int = LARGE_BLOCK)
     Null ids don't count; null or empty texts, arrays and maps state nothing; a listing
     of which neither line nor code is known is an item of its own.  Without any category
     paths no types are known, so only codes join; without makers the typed brands count."""
-    raw, types = cut(facts_of(listings, makers)), cut(types_stated(listings))
-    facts = described(raw, types, listing_words(raw, types)).withColumn("amount", _snapped(F.col("amount")))
+    raw = cut(facts_of(listings, makers))
+    types = listed(types_stated(raw))
+    facts = described(raw, types, listed(listing_words(raw, types))).withColumn("amount", _snapped(F.col("amount")))
     columns = ["maker", "lines", "kind", "size", "amount", "colour", "pack", "gen", "code"]
     # What can't be matched by its facts stays alone.
     bare = F.size("lines") == 0
@@ -272,8 +278,7 @@ def same_items(listings: DataFrame, makers: DataFrame, large: int = LARGE_BLOCK)
     keyed = cut(facts.withColumn("key", key))
     nodes = cut(keyed.groupBy("key", *columns).agg(F.min("id").alias("node")))
     edges, weights = candidate_edges(nodes, large)
-    edges = pruned(cut(weighted(edges, weights, nodes.drop("key")))).where("holds")
-    clusters = components(edges.select("a", "b"))
+    clusters = components(pruned(cut(weighted(edges, weights, nodes.drop("key")))))
     named = nodes.select("key", "node").join(clusters, "node", "left").select("key", F.coalesce("cluster", "node").alias("item"))
     return keyed.select("id", "key").join(named, "key").select("id", "item")
 

@@ -3,31 +3,38 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.runtime import cut
+from vitrine.runtime import MAX_BROADCAST_ROWS, cut
 
 #: Degrees up to this count as they are; larger ones fall into classes a fiftieth wide.
 EXACT_DEGREES = 512
 CLASS_WIDTH = 1.02
 
 
-def pairs_of_sets(members: DataFrame, chunk: int = 64) -> DataFrame:
+def pairs_of_sets(members: DataFrame, chunk: int = 256, split: bool = True) -> DataFrame:
     """``(s, a, b)`` with ``a < b`` for all members of every set; ``members(s, m)`` is distinct.
 
-    A set of n members is cut into n / ``chunk`` parts by a hash; two parts meet by a
-    join on (set, part, part), so the pairs of even the largest set are made by many
-    tasks, none of which holds more than two parts of it."""
-    sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    big = sizes.where(F.col("n") > chunk).select("s", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
-    joined = members.join(big, "s", "left")
-    small = joined.where("parts is null").groupBy("s").agg(F.sort_array(F.collect_list("m")).alias("x")).where(F.size("x") > 1)
+    A set of up to ``chunk`` members makes its pairs in one task.  A larger one is cut into
+    n / ``chunk`` parts by a hash; two parts meet by a join on (set, part, part), so the
+    pairs of even the largest set are made by many tasks, none of which holds more than
+    two parts of it.  ``split`` may be off where no set is that large."""
+    joined = members
+    if split:
+        sizes = members.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
+        big = sizes.where(F.col("n") > chunk).select("s", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
+        joined = members.join(big, "s", "left")
+        members = joined.where("parts is null")
+    small = members.groupBy("s").agg(F.sort_array(F.collect_list("m")).alias("x")).where(F.size("x") > 1)
     # Position i pairs with what follows it; one row per first member keeps the generated arrays short.
     near = small.select("s", F.posexplode("x").alias("i", "a"), "x").select("s", "a", F.explode(F.slice("x", F.col("i") + 2, F.size("x"))).alias("b"))
+    if not split:
+        return near
     parts = (
         joined.where("parts is not null")
         .withColumn("p", F.pmod(F.xxhash64("m"), F.col("parts").cast("long")).cast("int"))
@@ -57,22 +64,61 @@ def session_baskets(sessions: DataFrame) -> DataFrame:
     return baskets(rows, "session_id", F.upper(F.btrim(F.col("e.product_id"), F.lit(" \t\r\n"))))
 
 
-def pair_counts(members: DataFrame, min_count: int = 1, kept: bool = False) -> DataFrame:
+@dataclass
+class Counted:
+    """Members of baskets, written once, with what their counts and the null need."""
+
+    members: DataFrame
+    items: DataFrame
+    #: by class of degree: class, mean degree, number; of items and of baskets
+    item_classes: list
+    basket_classes: list
+
+    @property
+    def baskets(self) -> int:
+        return sum(r["num"] for r in self.basket_classes)
+
+    @property
+    def n_items(self) -> int:
+        return sum(r["num"] for r in self.item_classes)
+
+    @property
+    def largest(self) -> int:
+        return max((r["most"] for r in self.basket_classes), default=0)
+
+    def listed(self, rows: DataFrame) -> DataFrame:
+        """A table of at most one row per item, sent to all tasks only where there are few items."""
+        return F.broadcast(rows) if self.n_items <= MAX_BROADCAST_ROWS else rows
+
+
+def counted(members: DataFrame) -> Counted:
+    """``members(s, m)``, distinct, with the degrees of items and baskets by class (some 2,000 rows at most)."""
+    members = cut(members)
+
+    def classes(degrees: DataFrame) -> list:
+        d = degrees.withColumn("c", degree_class(F.col("n"))).groupBy("c")
+        return d.agg(F.avg("n").alias("deg"), F.count(F.lit(1)).alias("num"), F.max("n").alias("most")).orderBy("c").collect()
+
+    items = cut(members.groupBy("m").agg(F.count(F.lit(1)).alias("n")))
+    return Counted(members, items, classes(items), classes(members.groupBy("s").agg(F.count(F.lit(1)).alias("n"))))
+
+
+def pair_counts(members: DataFrame | Counted, min_count: int = 1, chunk: int = 256) -> DataFrame:
     """``(item_a, item_b, n_a, n_b, n_ab, n_baskets)`` for all pairs in at least ``min_count`` baskets.
 
     Items in fewer baskets than that can't be part of such a pair and go before pairs are
     made; counts are added up in each task before they move.  ``members(s, m)`` must be
-    distinct; they are written once, unless already ``kept``.  An empty input gives no rows."""
-    members = members if kept else cut(members)
-    items = members.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
-    total = members.agg(F.count_distinct("s").alias("n"))
-    often = members
+    distinct.  An empty input gives no rows."""
+    at = members if isinstance(members, Counted) else counted(members)
+    often = at.members
     if min_count > 1:
-        often = members.join(items.where(F.col("n") >= min_count).select("m"), "m", "left_semi")
-    counts = pairs_of_sets(often).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= min_count)
-    one, two = items.select(F.col("m").alias("a"), F.col("n").alias("n_a")), items.select(F.col("m").alias("b"), F.col("n").alias("n_b"))
+        often = often.join(at.listed(at.items.where(F.col("n") >= min_count).select("m")), "m", "left_semi")
+    pairs = pairs_of_sets(often, chunk, at.largest > chunk)
+    counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= min_count)
+    one = at.listed(at.items.select(F.col("m").alias("a"), F.col("n").alias("n_a")))
+    two = at.listed(at.items.select(F.col("m").alias("b"), F.col("n").alias("n_b")))
     return counts.join(one, "a").join(two, "b").select(
-        F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_a", "n_b", "n_ab", total.scalar().alias("n_baskets")
+        F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_a", "n_b", "n_ab", F.lit(at.baskets).cast("long").alias("n_baskets")
     )
 
 
@@ -203,25 +249,21 @@ def _tails(item_classes: dict[int, float], y: np.ndarray, basket_num: np.ndarray
     return run
 
 
-def surprise(members: DataFrame, min_count: int = 1, kept: bool = False) -> DataFrame:
+def surprise(members: DataFrame | Counted, min_count: int = 1) -> DataFrame:
     """``pair_counts`` plus ``lift, expected, p_value``.
 
     Exact counts are held against a fitted bipartite configuration null that keeps every
     item's number of baskets and every basket's size: ``expected`` and ``p_value``, the
     Poisson-binomial chance of as many common baskets or more.  ``lift`` is
     ``n_ab * n_baskets / (n_a * n_b)``.  Only the counts of degrees, by class, reach the driver."""
-    members = members if kept else cut(members)
-    pairs = pair_counts(members, min_count, kept=True)
-
-    def classes(key: str):
-        d = members.groupBy(key).agg(F.count(F.lit(1)).alias("n")).withColumn("c", degree_class(F.col("n")))
-        rows = d.groupBy("c").agg(F.avg("n").alias("deg"), F.count(F.lit(1)).alias("num")).orderBy("c").collect()
-        return [r["c"] for r in rows], np.array([float(r["deg"]) for r in rows]), np.array([float(r["num"]) for r in rows])
-
-    (ic, i_deg, i_num), (_, b_deg, b_num) = classes("m"), classes("s")
-    if not ic:
+    at = members if isinstance(members, Counted) else counted(members)
+    pairs = pair_counts(at, min_count)
+    if not at.item_classes:
         empty = F.lit(None).cast("double")
         return pairs.withColumns({"expected": empty, "p_value": empty, "lift": empty})
+    (ic, i_deg, i_num), (_, b_deg, b_num) = (
+        ([r["c"] for r in rows], np.array([float(r["deg"]) for r in rows]), np.array([float(r["num"]) for r in rows])) for rows in (at.item_classes, at.basket_classes)
+    )
     x, y = fit_null(i_deg, i_num, b_deg, b_num)
     ready = pairs.withColumns({"c_a": degree_class(F.col("n_a")), "c_b": degree_class(F.col("n_b"))})
     schema = "item_a string, item_b string, n_a long, n_b long, n_ab long, n_baskets long, expected double, p_value double"
@@ -249,7 +291,6 @@ def surprising_pairs(members: DataFrame, min_count: int = 1, rate: float = 0.05)
 
     All pairs of items count as tests; those never seen have a p-value of 1, so with
     ``min_count`` 1 every pair takes part."""
-    members = cut(members)
-    scored = cut(surprise(members, min_count, kept=True))
-    items = members.agg(F.count_distinct("m")).first()[0]
-    return scored.where(F.col("p_value") <= false_discovery_cutoff(scored, max(1.0, items * (items - 1) / 2), rate))
+    at = counted(members)
+    scored = cut(surprise(at, min_count))
+    return scored.where(F.col("p_value") <= false_discovery_cutoff(scored, max(1.0, at.n_items * (at.n_items - 1) / 2), rate))
