@@ -189,8 +189,7 @@ def candidate_edges(nodes: DataFrame, large: int = LARGE_BLOCK) -> tuple[DataFra
     cells = F.when(F.col("n") <= large, F.array(F.lit(""))).otherwise(F.col("cells"))
     blocks = marked.where("blocking").select(F.col("token"), F.col("node").alias("m"), F.explode(cells).alias("cell"))
     sets = cut(blocks.select(F.concat_ws("|", "token", F.lit("cell"), "cell").alias("s"), "m"))
-    largest = sets.groupBy("s").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
-    return pairs_of_sets(sets, split=largest > 256).select("a", "b").distinct(), weights
+    return _pairs(sets).select("a", "b").distinct(), weights
 
 
 def weighted(edges: DataFrame, weights: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -285,4 +284,11 @@ def same_items(listings: DataFrame, makers: DataFrame, large: int = LARGE_BLOCK)
 
 def item_pairs(groups: DataFrame) -> DataFrame:
     """``(id_a, id_b)`` of all listings of one item."""
-    return pairs_of_sets(groups.select(F.col("item").alias("s"), F.col("id").alias("m"))).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+    sets = cut(groups.select(F.col("item").alias("s"), F.col("id").alias("m")))
+    return _pairs(sets).select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+def _pairs(sets: DataFrame, chunk: int = 256) -> DataFrame:
+    """``pairs_of_sets`` of a table already written, split only where a set is large."""
+    largest = sets.groupBy("s").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    return pairs_of_sets(sets, chunk, largest > chunk)
