@@ -77,6 +77,8 @@ BUMPS = {
     "cart": Bump(0.25, 0.12, 0.20),
 }
 EVENT_WEIGHTS = {"click": 1.0, "view": 0.2, "favorite": 3.0, "cart": 4.0}
+#: Words of a query that say nothing about what is sought (fixed values).
+STOP_WORDS = ("a", "an", "and", "at", "for", "from", "in", "is", "it", "my", "of", "on", "that", "the", "to", "up", "with")
 RRF_K = 60
 COSINE_FLOOR = 0.4
 RETRIEVAL_WEIGHT = 0.2

@@ -108,3 +108,11 @@ def first_per_key(stages: list[DataFrame], key: str = "id", by: list[str] | None
         both = s if both is None else both.unionByName(s)
     w = Window.partitionBy(*by, key).orderBy("stage", "pos")
     return both.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn")
+
+
+def with_local_images(catalog: DataFrame, staged: DataFrame) -> DataFrame:
+    """The catalogue with ``image_url`` in the bundle: the staged photo ``staged(id, ext)`` of a product, else the card drawn for it.
+
+    A product staged several times has the least extension; what an address was before doesn't matter."""
+    photos = staged.where("id IS NOT NULL AND ext IS NOT NULL").groupBy("id").agg(F.min("ext").alias("__ext"))
+    return catalog.join(photos, "id", "left").withColumn("image_url", S.local_image(F.col("id"), F.col("__ext"))).drop("__ext")

@@ -46,6 +46,19 @@ def segment_metrics(per_query: DataFrame, segments: DataFrame) -> DataFrame:
     return per_query.join(segments, "q").groupBy("segment").agg(F.count(F.lit(1)).alias("queries"), *means)
 
 
+def segment_report(per_query: DataFrame, segments: DataFrame, segment: str) -> DataFrame:
+    """``segment_metrics`` of one segment.
+
+    Raises ``ValueError`` for ``negative``: those queries have nothing relevant, so what counts is how many
+    pages they fill (``page_counts``), and for a segment without queries."""
+    if segment == "negative":
+        raise ValueError("negative queries have no relevant documents; count their pages instead")
+    mine = segments.where(F.col("segment") == segment)
+    if not mine.limit(1).count():
+        raise ValueError(f"no queries of segment {segment!r}")
+    return segment_metrics(per_query, mine)
+
+
 def page_counts(queries: DataFrame, ranked: DataFrame, k: int) -> DataFrame:
     """Per segment: queries with a full page, rows shown, and queries with none."""
     sizes = ranked.where(F.col("pos") <= k).groupBy("q").agg(F.count(F.lit(1)).alias("n"))

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitrine.config import RETRIEVAL_WEIGHT, RankingConfig, Strategy, Weights
+from vitrine.config import RECENT_CAP, RETRIEVAL_WEIGHT, RankingConfig, Strategy, Weights
 from vitrine.operators import catalog as C
 from vitrine.operators import retrieval as R
 from vitrine.runtime import cut
@@ -87,29 +87,45 @@ def page(scored: DataFrame, limit: int) -> DataFrame:
     return scored.withColumn("pos", F.row_number().over(w)).where(F.col("pos") <= limit).drop("pool_pos")
 
 
-def affinity_matches(catalog: DataFrame, profiles: DataFrame, weights: Weights) -> DataFrame:
-    """``(q, id, ord, category_match, tag_match, brand_match)`` of all products with a positive affinity.
+def affinity_matches(catalog: DataFrame, profiles: DataFrame, weights: Weights, page: int | None = None) -> DataFrame:
+    """``(q, id, ord, category_match, tag_match, brand_match)`` of the products with a positive affinity.
 
     A product matches through its category, a tag or its brand, so matches come from
-    joins on those keys and no request meets the whole catalogue; summing what the keys
-    of a product are worth gives its match at the same time."""
-    used = [kind for kind, w in (("category", weights.category), ("tag", weights.tag), ("brand", weights.brand)) if w > 0]
+    joins on those keys and no request meets the whole catalogue.
+
+    With ``page``, products that match by their category alone are left out where they
+    can't reach a page of so many: of a category, only the best by the parts of the score
+    that don't depend on the request come along, one page more than the penalty can push
+    off it.  Whatever else the category holds scores no better than these do."""
+    used = [kind for kind, w in (("tag", weights.tag), ("brand", weights.brand)) if w > 0]
     pairs = lambda kind: F.transform(F.map_entries(kind), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("value")))
-    entries = F.concat(*map(pairs, used)) if used else F.array().cast("array<struct<kind:string,key:string,value:double>>")
-    wanted = profiles.select("q", F.explode(entries).alias("e")).select("q", "e.kind", "e.key", "e.value").where("value > 0")
+    wanted_of = lambda entries: profiles.select("q", F.explode(entries).alias("e")).select("q", "e.kind", "e.key", "e.value").where("value > 0")
+    wanted = wanted_of(F.concat(*map(pairs, used)) if used else F.array().cast("array<struct<kind:string,key:string,value:double>>"))
     entry = lambda kind, key, share: F.struct(F.lit(kind).alias("kind"), key.alias("key"), share.alias("share"))
     one, each = F.lit(1.0), 1.0 / F.greatest(F.size("tags"), F.lit(1))
     # A tag a product has twice counts twice, as it does in the mean.
-    keys = F.concat(F.array(entry("category", F.col("category"), one)), F.transform("tags", lambda t: entry("tag", t, each)), F.array(entry("brand", F.col("brand"), one)))
-    offered = catalog.select("id", "ord", F.explode(keys).alias("k")).select("id", "ord", "k.kind", "k.key", "k.share").where("kind <> 'brand' OR key <> ''")
+    keys = F.concat(F.transform("tags", lambda t: entry("tag", t, each)), F.array(entry("brand", F.col("brand"), one)))
+    offered = catalog.select("id", "ord", "category", F.explode(keys).alias("k")).select("id", "ord", "category", "k.kind", "k.key", "k.share").where("kind <> 'brand' OR key <> ''")
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("value") * F.col("share")).otherwise(0.0)).alias(f"{kind}_match")
-    return wanted.join(offered, ["kind", "key"]).groupBy("q", "id", "ord").agg(part("category"), part("tag"), part("brand"))
+    by_keys = wanted.join(offered, ["kind", "key"]).groupBy("q", "id", "ord", "category").agg(part("tag"), part("brand"))
+    if weights.category <= 0:
+        return by_keys.select("q", "id", "ord", F.lit(0.0).alias("category_match"), "tag_match", "brand_match")
+    liked = wanted_of(pairs("category")).select("q", F.col("key").alias("category"), F.col("value").alias("category_match"))
+    rows = catalog.select("id", "ord", "category", F.round(weights.popularity * F.col("popularity_score") + weights.freshness * F.col("freshness_score"), DIGITS).alias("static"))
+    if page is not None:
+        w = Window.partitionBy("category").orderBy(F.col("static").desc(), "ord")
+        rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= page + RECENT_CAP)
+    none = {"tag_match": F.lit(0.0), "brand_match": F.lit(0.0)}
+    by_category = liked.select("q", "category").join(rows.select("id", "ord", "category"), "category").withColumns(none)
+    both = by_keys.unionByName(by_category).groupBy("q", "id", "ord", "category").agg(F.sum("tag_match").alias("tag_match"), F.sum("brand_match").alias("brand_match"))
+    matched = both.join(liked, ["q", "category"], "left").withColumn("category_match", F.coalesce("category_match", F.lit(0.0)))
+    return matched.select("q", "id", "ord", "category_match", "tag_match", "brand_match")
 
 
 def affinity_pool(requests: DataFrame, catalog: DataFrame, profiles: DataFrame, limit: int, weights: Weights) -> DataFrame:
-    """``(q, id, pool_pos, matches...)``: all matches where there are ``limit`` or more, else these and
-    the most popular products behind them; the latter alone for requests without a profile."""
-    matches = cut(affinity_matches(catalog, profiles, weights))  # read three times below
+    """``(q, id, pool_pos, matches...)``: all matches that can reach a page of ``limit`` where there are so many
+    or more, else these and the most popular products behind them; the latter alone for requests without a profile."""
+    matches = cut(affinity_matches(catalog, profiles, weights, limit))  # read three times below
     enough = matches.groupBy("q").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= limit)
     few = requests.select("q").join(enough, "q", "left_anti")
     top = F.broadcast(C.top_by(catalog, "popularity_score", 5 * limit).select("id", (F.col("pos") + F.lit(1 << 40)).alias("pool_pos")))  # 5 * limit rows

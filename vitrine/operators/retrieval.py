@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import itertools
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -12,7 +14,7 @@ from pyspark.sql.window import Window
 
 from vitrine.config import COSINE_FLOOR, RRF_K
 from vitrine.functions import scalars as S
-from vitrine.runtime import collect_bounded
+from vitrine.runtime import collect_bounded, cut
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -32,23 +34,60 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.avg(F.size("tokens")), F.lit(0.0)).alias("avgdl"))
 
 
-def idf(posts: DataFrame, stats: DataFrame) -> DataFrame:
+def document_frequencies(docs: DataFrame) -> DataFrame:
+    """``(term, df)``, summed up in each task before it moves, so no (term, document) row does."""
+    return docs.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def idf(frequencies: DataFrame, stats: DataFrame) -> DataFrame:
     """``(term, df, idf)``; a negative weight becomes a quarter of the mean raw weight of all terms."""
     n = F.broadcast(stats.select("n"))  # one row
-    raw = posts.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(n).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
+    raw = frequencies.join(n).withColumn("raw", F.ln(F.col("n") - F.col("df") + 0.5) - F.ln(F.col("df") + 0.5))
     mean = F.broadcast(raw.agg(F.avg("raw").alias("mean")))  # one row
     return raw.join(mean).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, digits: int = 6) -> DataFrame:
-    """``(q, doc, score)`` above 0 for ``queries(q, tokens)``; a term asked twice counts twice."""
-    posts, stats = postings(docs), corpus_stats(docs)
+@dataclass(frozen=True)
+class Index:
+    """What searches of one collection share: ``docs(doc, tokens)``, ``(term, idf)`` and the one row of ``corpus_stats``."""
+
+    docs: DataFrame
+    terms: DataFrame
+    stats: DataFrame
+
+
+def index(docs: DataFrame, kept: bool = False) -> Index:
+    """An index of ``docs``; ``kept`` writes the weights of the terms once, for several searches."""
+    stats = corpus_stats(docs)
+    terms = idf(document_frequencies(docs), stats).select("term", "idf")
+    return Index(docs, cut(terms), cut(stats)) if kept else Index(docs, terms, stats)
+
+
+def bm25(docs: DataFrame | Index, queries: DataFrame, digits: int = 6) -> DataFrame:
+    """``(q, doc, score)`` above 0 for ``queries(q, tokens)``; a term asked twice counts twice.
+
+    Only the terms asked for are counted per document: they meet the words of the
+    documents before anything moves, sent to all tasks where they are few enough."""
+    at = docs if isinstance(docs, Index) else index(docs)
     asked = queries.select("q", F.explode("tokens").alias("term"))
-    hits = asked.join(posts, "term").join(idf(posts, stats).select("term", "idf"), "term").join(F.broadcast(stats.select("avgdl")))
+    terms = collect_bounded(asked.select("term").distinct())
+    words = at.docs.select("doc", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
+    if terms is None:
+        words = words.join(asked.select("term").distinct(), "term", "left_semi")
+    else:
+        few = asked.sparkSession.createDataFrame(terms, "term string")
+        words = words.join(F.broadcast(few), "term", "left_semi")
+    posts = words.groupBy("term", "doc").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+    hits = asked.join(posts, "term").join(at.terms, "term").join(F.broadcast(at.stats.select("avgdl")))
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.nullif(F.col("avgdl"), F.lit(0.0))))
     return hits.groupBy("q", "doc").agg(F.round(F.sum(part), digits).alias("score")).where("score > 0")
 
 
+def without_stop_words(tokens, stop_words: Iterable[str]):
+    """The tokens of a query without words that say nothing about what is sought."""
+    return F.filter(tokens, lambda t: ~t.isin(*sorted(stop_words))) if (stop_words := set(stop_words)) else tokens
+
+
 def top_k(scored: DataFrame, k: int, order: str = "doc") -> DataFrame:
     """The ``k`` best of each query, ties by ``order``, with ``pos`` from 1."""
     w = Window.partitionBy("q").orderBy(F.col("score").desc(), order)
@@ -77,7 +116,7 @@ def _block_search(queries: list[tuple[str, list[float]]], k: int, digits: int, e
     return run
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, digits: int = 6, block: int = 2_000) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = False, digits: int = 6, block: int = 10_000) -> DataFrame:
     """Exact cosine neighbours ``(q, doc, score, pos)`` of ``queries(q, embedding)`` among
     ``vectors(doc, ord, embedding)``.
 
@@ -85,16 +124,22 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, exclude_self: bool = Fal
     rows with a block and keeps its best ``k``, so what moves is k rows per query and task."""
     columns = queries.select("q", "embedding")
     few = collect_bounded(columns, block)  # one job; more queries than a block come partition by partition
-    asked = sorted((r["q"], list(r["embedding"])) for r in (few if few is not None else columns.toLocalIterator(prefetchPartitions=True)))
     kinds = dict(vectors.dtypes)
     schema = f"q {dict(queries.dtypes)['q']}, doc {kinds['doc']}, ord long, score double"
     rows = vectors.select("doc", F.col("ord").cast("long").alias("ord"), "embedding")
-    out = None
-    for at in range(0, max(1, len(asked)), block):
-        part = asked[at : at + block]
-        got = rows.mapInPandas(_block_search(part, k, digits, exclude_self), schema) if part else rows.sparkSession.createDataFrame([], schema)
-        out = got if out is None else out.unionByName(got)
-    return top_k(out, k, "ord").select("q", "doc", "score", "pos")
+    if few is not None:
+        asked = [(r["q"], list(r["embedding"])) for r in few]
+        out = rows.mapInPandas(_block_search(asked, k, digits, exclude_self), schema) if asked else rows.sparkSession.createDataFrame([], schema)
+        return top_k(out, k, "ord").select("q", "doc", "score", "pos")
+    out, part = None, []
+    for r in itertools.chain(columns.toLocalIterator(prefetchPartitions=True), [None]):
+        if r is not None:
+            part.append((r["q"], list(r["embedding"])))
+        if part and (r is None or len(part) >= block):
+            # Found before the next block is fetched, so the driver holds one block.
+            got = cut(top_k(rows.mapInPandas(_block_search(part, k, digits, exclude_self), schema), k, "ord").select("q", "doc", "score", "pos"))
+            out, part = (got if out is None else out.unionByName(got)), []
+    return out
 
 
 def fuse(keyword: DataFrame, vector: DataFrame, k: int = RRF_K) -> DataFrame:

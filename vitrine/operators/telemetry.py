@@ -34,16 +34,49 @@ def running_total(rows: DataFrame, by: str, order: list[str], value: str) -> Dat
     return rows.withColumn("running", F.sum(value).over(w))
 
 
-def version_verdicts(rows: DataFrame, key: str, version: str) -> DataFrame:
-    """How each published version stands to the one before: ``first``, ``newer``, ``same`` or ``rollback``."""
-    parts = S.release_parts(F.col(version))
-    rows = rows.withColumn("parts", parts)
-    w = Window.partitionBy(key).orderBy(version)
+def version_verdicts(rows: DataFrame, key: str, version: str, order: list[str] | None = None) -> DataFrame:
+    """How each published version stands to the one before: ``first``, ``newer``, ``same`` or ``rollback``.
+
+    One came before another by ``order``; without it by the numbers of the versions, never by their texts."""
+    rows = rows.withColumn("parts", S.release_parts(F.col(version)))
+    w = Window.partitionBy(key).orderBy(*(order or ["parts", version]))
     before = F.lag("parts").over(w)
     verdict = F.when(before.isNull(), "first").when(F.col("parts") == before, "same").when(F.col("parts") > before, "newer").otherwise("rollback")
     return rows.withColumn("verdict", verdict).drop("parts")
 
 
+def sequence_verdicts(rows: DataFrame, key: str, order: list[str], sequence: str, identity: str) -> DataFrame:
+    """What a reader makes of each pointer as it arrives: ``first``, ``fresh``, ``same`` or ``stale``.
+
+    The active pointer is the first of the greatest sequence so far; a lower one is
+    stale, an equal one is the same only if its identity is, and never replaces it.
+    Pointers without a sequence of at least 0 prove nothing: ``undecidable``."""
+    known = F.coalesce(F.col(sequence) >= 0, F.lit(False))
+    w = Window.partitionBy(key).orderBy(*order)
+    rows = rows.withColumn("__at", F.row_number().over(w))
+    mine = F.when(known, F.struct(F.col(sequence).alias("s"), (-F.col("__at")).alias("first"), F.col(identity).alias("i")))
+    active = F.max(mine).over(Window.partitionBy(key).orderBy("__at").rowsBetween(Window.unboundedPreceding, -1))
+    rows = rows.withColumn("__active", active)
+    verdict = (
+        F.when(~known, "undecidable").when(F.col("__active").isNull(), "first").when(F.col(sequence) > F.col("__active.s"), "fresh")
+        .when((F.col(sequence) == F.col("__active.s")) & F.col(identity).eqNullSafe(F.col("__active.i")), "same").otherwise("stale")
+    )
+    return rows.withColumn("verdict", verdict).drop("__at", "__active")
+
+
+def backend_calls(rows: DataFrame, url: str, start: str, ready_at: float, edge: str, uplink: str | None = None) -> DataFrame:
+    """One row ``calls``: requests that started when the page was ready or later and went to the edge or elsewhere; pictures and the uplink don't count."""
+    kind = S.classify_resource(F.col(url), edge, uplink)
+    return rows.where(F.col(start) >= ready_at).agg(F.count_if(kind.isin("edge", "other")).alias("calls"))
+
+
+def oversized(rows: DataFrame, batch: str, session: str, most: int = 1_000, characters: int = 200) -> DataFrame:
+    """``(batch, reason)`` of batches that a collector refuses: too many events, or too long a session id."""
+    sizes = rows.groupBy(batch).agg(F.count(F.lit(1)).alias("n"), F.max(F.length(session)).alias("c"))
+    reason = F.when(F.col("n") > most, "too many events").when(F.col("c") > characters, "session id too long")
+    return sizes.select(batch, reason.alias("reason")).where("reason is not null")
+
+
 def session_expiry(rows: DataFrame, by: str, ts: str, ttl_seconds: int = 3600) -> DataFrame:
     """``visit``: the number of the visit a row lies in; a gap of the limit or more starts a new one."""
     w = Window.partitionBy(by).orderBy(ts)

@@ -19,12 +19,24 @@ def norms(eng: DataFrame) -> DataFrame:
     return eng.groupBy("product_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm <> 0")
 
 
-def dots(eng: DataFrame) -> DataFrame:
-    """Sums of products for pairs with ``a < b``; both directions follow from one."""
-    a = eng.select("line", F.col("product_id").alias("a"), F.col("w").alias("wa"))
-    b = eng.select("line", F.col("product_id").alias("b"), F.col("w").alias("wb"))
+#: Products of a line up to which one task makes all its pairs.
+LINE_PART = 500
+
+
+def dots(eng: DataFrame, part: int = LINE_PART) -> DataFrame:
+    """Sums of products for pairs with ``a < b``; both directions follow from one.
+
+    A line of more than ``part`` products is cut into parts of about so many by a hash;
+    two parts meet by a join on (line, part, part), so a very long line is many tasks."""
+    cut = eng.groupBy("line").agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts")).where("parts > 1")
+    # Of most logs no line is that long; where there are some, their list joins by the line as the rows do.
+    rows = eng.join(cut, "line", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    rows = rows.withColumn("p", F.pmod(F.xxhash64("product_id"), F.col("parts").cast("long")).cast("int"))
+    a = rows.select("line", F.col("p").alias("p1"), F.explode(F.sequence("p", F.col("parts") - 1)).alias("p2"), F.col("product_id").alias("x"), F.col("w").alias("wx"))
+    b = rows.select("line", F.explode(F.sequence(F.lit(0), F.col("p"))).alias("p1"), F.col("p").alias("p2"), F.col("product_id").alias("y"), F.col("w").alias("wy"))
+    met = a.join(b, ["line", "p1", "p2"]).where(F.when(F.col("p1") == F.col("p2"), F.col("x") < F.col("y")).otherwise(F.col("x") != F.col("y")))
     # The join's rows are summed within each task before they move.
-    return a.join(b, "line").where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
+    return met.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum(F.col("wx") * F.col("wy")).alias("dot"))
 
 
 def cosines(eng: DataFrame, digits: int = 6) -> DataFrame:

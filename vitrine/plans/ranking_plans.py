@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vitrine.config import RETRIEVAL_WEIGHT
+from vitrine.config import RETRIEVAL_WEIGHT, STOP_WORDS
 from vitrine.functions import scalars as S
 from vitrine.operators import evaluation as V
 from vitrine.operators import ranking as K
@@ -32,7 +32,7 @@ def bm25_stats(spark: SparkSession, d: str) -> DataFrame:
 @query("bm25_idf", "SELECT term, df, round(idf, 6) AS idf FROM idf")
 def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
     docs = _docs(spark, d)
-    return R.idf(R.postings(docs), R.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
+    return R.idf(R.document_frequencies(docs), R.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
 
 
 def _keyword(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
@@ -271,3 +271,37 @@ def label_match(spark: SparkSession, d: str) -> DataFrame:
     nodes = F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>")))
     return V.label_match(catalog(spark, d), table(spark, d, "ref_values").where("field = 'category'").select(F.col("ref_id").alias("q"), nodes.alias("nodes")))
 
+
+
+@query(
+    "query_terms",
+    rf"""SELECT q, list_filter(list_filter(regexp_split_to_array(lower(text), '{WS}'), lambda x: x <> ''), lambda x: NOT list_contains({list(STOP_WORDS)}, x)) AS terms
+    FROM (SELECT doc_id AS q, coalesce(text, '') AS text FROM documents)""",
+)
+def query_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Texts as queries, without words that say nothing about what is sought."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("q"), R.without_stop_words(S.tokens(F.col("text")), STOP_WORDS).alias("terms"))
+
+
+@query("segment_report", _RANKED + " SELECT segment, count(*) AS queries, round(avg(ndcg), 6) AS ndcg, round(avg(recall), 6) AS recall FROM pq WHERE segment = 3 GROUP BY segment")
+def segment_report(spark: SparkSession, d: str) -> DataFrame:
+    """The metrics of one segment; one of negatives would be refused."""
+    ranked, relevant, segments = _judged(spark, d)
+    return V.segment_report(V.query_metrics(ranked, relevant), segments, 3).select("segment", "queries", "ndcg", "recall")
+
+
+@query("blank_search", "SELECT id AS q FROM cat WHERE false")
+def blank_search(spark: SparkSession, d: str) -> DataFrame:
+    """Queries of white space alone find nothing, whatever their vectors."""
+    blank = asked(spark, d).withColumn("text", F.lit("  "))
+    return K.search(blank, catalog(spark, d), vectors(spark, d)).select("q")
+
+
+@query(
+    "home_rails",
+    " UNION ALL ".join([_rail("trending", _pool("pop"), (0.80, 0.05, 0.04, 0.03, 0.08, 0.25, 0.0, 0.0)), _rail("new_arrivals", _pool("fresh"), (0.15, 0.05, 0.04, 0.03, 0.70, 0.25, 0.0, 0.0))]),
+)
+def home_rails(spark: SparkSession, d: str) -> DataFrame:
+    """The rails of a home page that don't depend on who asks."""
+    s, cat = sessions(spark, d), catalog(spark, d)
+    return K.rails({"trending": K.recommend("trending", s, cat), "new_arrivals": K.recommend("new_arrivals", s, cat)})

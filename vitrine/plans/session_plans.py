@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vitrine.operators import catalog as C
 from vitrine.operators import evaluation as V
 from vitrine.operators import profiles as P
 from vitrine.operators import telemetry as T
@@ -228,3 +229,87 @@ def sync_stats(spark: SparkSession, d: str) -> DataFrame:
 def key_difference(spark: SparkSession, d: str) -> DataFrame:
     """Products never touched, and touched ones that aren't in the catalogue."""
     return T.key_difference(catalog(spark, d), P.valid(events(spark, d)).select(F.col("product_id").alias("id")), "id")
+
+
+_HALF = """h AS (SELECT max(line_no) / 2 AS half FROM demo_sessions), old_eng AS (SELECT line_no AS line, product_id, sum(w) AS w FROM ev, h WHERE line_no <= half GROUP BY ALL),
+    old_nrm AS (SELECT product_id, sqrt(sum(w * w)) AS norm FROM old_eng GROUP BY product_id HAVING sqrt(sum(w * w)) <> 0),
+    old_all AS (SELECT x.product_id AS id, y.product_id AS neighbor_id, round(sum(x.w * y.w) / (any_value(nx.norm) * any_value(ny.norm)), 6) AS score
+        FROM old_eng x JOIN old_eng y ON x.line = y.line AND x.product_id <> y.product_id JOIN old_nrm nx ON nx.product_id = x.product_id JOIN old_nrm ny ON ny.product_id = y.product_id GROUP BY x.product_id, y.product_id),
+    old_cooc AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, neighbor_id) AS rank FROM old_all QUALIFY rank <= 10)"""
+
+
+@query("retrained_edges", f"WITH {_HALF} SELECT c.id, c.neighbor_id, c.score, s.score AS old FROM cooc c LEFT JOIN old_cooc s ON s.id = c.id AND s.neighbor_id = c.neighbor_id WHERE c.score IS DISTINCT FROM s.score")
+def retrained_edges(spark: SparkSession, d: str) -> DataFrame:
+    """What a retrain on the whole log changes against one on its first half: new, rescored and unchanged edges all occur."""
+    log = events(spark, d)
+    half = table(spark, d, "demo_sessions").agg(F.max("line_no") / 2).scalar()
+    return G.changed_edges(G.cooccurrence(log.where(F.col("line_no") <= half)), G.cooccurrence(log)).select("id", "neighbor_id", "score", "old")
+
+
+@query("collector_buffer", "SELECT event_id, event_type FROM events ORDER BY ts DESC, event_id DESC LIMIT 700")
+def collector_buffer(spark: SparkSession, d: str) -> DataFrame:
+    """A buffer smaller than the log: the newest 700 events."""
+    return P.newest(table(spark, d, "events"), 700, ["ts", "event_id"]).select("event_id", "event_type")
+
+
+@query("session_store", "SELECT user_id FROM events WHERE user_id IS NOT NULL GROUP BY 1 ORDER BY max(ts) DESC, user_id LIMIT 40")
+def session_store(spark: SparkSession, d: str) -> DataFrame:
+    """A store smaller than the number of sessions: the 40 seen last."""
+    return T.live_sessions(table(spark, d, "events"), "user_id", "ts", 40).select("user_id")
+
+
+@query(
+    "uplink_queue",
+    """SELECT event_id, user_id, CAST(floor((row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1) / 2) AS INTEGER) AS batch
+    FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 5)""",
+)
+def uplink_queue(spark: SparkSession, d: str) -> DataFrame:
+    """A queue of five per user, in batches of two: the oldest are dropped."""
+    return T.batches(table(spark, d, "events"), "user_id", ["ts", "event_id"], 2, 5).select("event_id", "user_id", "batch")
+
+
+@query("oversized_batches", "SELECT line_no, CASE WHEN len(events) > 8 THEN 'too many events' ELSE 'session id too long' END AS reason FROM demo_sessions WHERE len(events) > 8 OR (len(events) > 0 AND length(session_id) > 12)")
+def oversized_batches(spark: SparkSession, d: str) -> DataFrame:
+    """Lines a collector with limits of 8 events and 12 characters refuses."""
+    return T.oversized(events(spark, d), "line_no", "session_id", 8, 12)
+
+
+@query(
+    "release_verdicts",
+    """SELECT line_no, CASE WHEN before IS NULL THEN 'first' WHEN mine = before THEN 'same' WHEN mine > before THEN 'newer' ELSE 'rollback' END AS verdict FROM
+    (SELECT *, lag(mine) OVER (PARTITION BY line_no % 50 ORDER BY line_no) AS before FROM (SELECT line_no, (line_no // 50) * 7 % 12 // 2 AS mine FROM (SELECT DISTINCT line_no FROM demo_sessions)))""",
+)
+def release_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Versions v1.0 to v1.11 and back, published one after another in 50 catalogues: texts would order v1.10 before v1.9."""
+    number = F.floor((F.floor(F.col("line_no") / 50) * 7) % 12 / 2) * 2
+    rows = table(spark, d, "demo_sessions").select("line_no").distinct().withColumns({"catalog": F.col("line_no") % 50, "version": F.concat(F.lit("v1."), number.cast("bigint").cast("string"))})
+    return T.version_verdicts(rows, "catalog", "version", ["line_no"]).select("line_no", "verdict")
+
+
+@query(
+    "sequence_verdicts",
+    """WITH p AS (SELECT line_no, line_no % 50 AS c, (line_no // 50) * 7 % 12 - 1 AS s, line_no % 3 AS i FROM (SELECT DISTINCT line_no FROM demo_sessions)),
+    q AS (SELECT *, (SELECT max(s) FROM p o WHERE o.c = p.c AND o.line_no < p.line_no AND o.s >= 0) AS top FROM p),
+    r AS (SELECT *, (SELECT arg_min(i, o.line_no) FROM p o WHERE o.c = q.c AND o.line_no < q.line_no AND o.s = q.top) AS active FROM q)
+    SELECT line_no, CASE WHEN s < 0 THEN 'undecidable' WHEN top IS NULL THEN 'first' WHEN s > top THEN 'fresh' WHEN s = top AND i = active THEN 'same' ELSE 'stale' END AS verdict FROM r""",
+)
+def sequence_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    """Pointers of 50 catalogues as they arrive, some out of order, sent again or without a sequence."""
+    rows = table(spark, d, "demo_sessions").select("line_no").distinct()
+    rows = rows.withColumns({"c": F.col("line_no") % 50, "s": F.expr("(line_no div 50) * 7 % 12 - 1"), "i": F.col("line_no") % 3})
+    return T.sequence_verdicts(rows, "c", ["line_no"], "s", "i").select("line_no", "verdict")
+
+
+@query("backend_calls", "SELECT count(*) FILTER (NOT regexp_matches(lower(url), '\\.(png|jpg|jpeg|webp|gif|svg|avif)$')) AS calls FROM (SELECT ord, url FROM cat UNION ALL SELECT ord, image_url FROM cat) WHERE ord >= 100")
+def backend_calls(spark: SparkSession, d: str) -> DataFrame:
+    """Addresses of the catalogue as requests, its order as their start: those from 100 on that aren't pictures."""
+    cat = catalog(spark, d)
+    rows = cat.select("ord", "url").unionByName(cat.select("ord", F.col("image_url").alias("url")))
+    return T.backend_calls(rows, "url", "ord", 100, "https://edge.example")
+
+
+@query("staged_images", "SELECT cat.id, '/images/' || cat.id || '.' || coalesce(ext, 'svg') AS image_url FROM cat LEFT JOIN (SELECT id, min(CASE WHEN version = 'v3' THEN 'webp' ELSE 'jpg' END) AS ext FROM product_vectors WHERE id IS NOT NULL AND version IS NOT NULL GROUP BY id) s ON s.id = cat.id")
+def staged_images(spark: SparkSession, d: str) -> DataFrame:
+    """Products with a vector as those with a staged photo; the others get their drawn card."""
+    ext = F.when(F.col("version") == "v3", "webp").when(F.col("version").isNotNull(), "jpg")
+    return C.with_local_images(catalog(spark, d), table(spark, d, "product_vectors").select("id", ext.alias("ext"))).select("id", "image_url")

@@ -55,6 +55,7 @@ def publish(
     stage, store = Path(root) / f"stage-{version}-{sequence}", Path(root) / "objects"
     shutil.rmtree(stage, ignore_errors=True)
     store.mkdir(parents=True, exist_ok=True)
+    stage.mkdir(parents=True)
     files = []
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(str(stage / name))

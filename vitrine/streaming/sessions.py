@@ -6,6 +6,7 @@ batch result; the recent products need an order and keep state of their own.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import pandas as pd
@@ -102,3 +103,29 @@ def recently_viewed(events: DataFrame) -> DataFrame:
 def republish_on(events: DataFrame, job, checkpoint: str):
     """Run ``job(batch, number)`` on what has arrived, then stop: the retrain step of the loop."""
     return events.writeStream.foreachBatch(job).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def uplink(events: DataFrame, send, checkpoint: str, size: int = 25):
+    """Send what has arrived in lists of ``size`` rows, at least once: ``send(rows)`` that fails ends the run, and the
+    next run on the same checkpoint sends the whole batch again.  Each task sends its own rows."""
+
+    def deliver(batch: DataFrame, number: int) -> None:
+        def run(rows: Iterator) -> None:
+            while part := list(itertools.islice(rows, size)):
+                send(part)
+
+        batch.foreachPartition(run)
+
+    return events.writeStream.foreachBatch(deliver).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def written(stream: DataFrame, path: str, checkpoint: str, mode: str) -> DataFrame:
+    """Run a stream on what has arrived and keep its result as a table: the whole of it in complete mode, else the batches one after another, numbered."""
+
+    def keep(batch: DataFrame, number: int) -> None:
+        rows = batch.withColumn("batch", F.lit(number).cast("long"))
+        rows.write.mode("overwrite" if mode == "complete" else "append").parquet(path)
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return stream.sparkSession.read.parquet(path)
