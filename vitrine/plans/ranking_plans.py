@@ -223,6 +223,36 @@ def product_rails(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+@query(
+    "product_page",
+    " UNION ALL ".join(
+        [
+            _rail("frequently_bought_together", _COO + " WHERE rank <= 3", (0.08, 0.04, 0.03, 0.02, 0.02, 0.25, 0.0, 0.80)),
+            _rail("similar_items", _SIM, (0.20, 0.05, 0.04, 0.03, 0.05, 0.25, 0.60, 0.0)),
+            _rail("because_viewed", _SIM, (0.10, 0.12, 0.08, 0.06, 0.04, 0.25, 0.55, 0.0)),
+            _rail("also_bought", _COO, (0.15, 0.05, 0.04, 0.03, 0.03, 0.25, 0.0, 0.70)),
+            "SELECT 'trending_in_category' AS rail, t.q, t.id, t.pos, t.score FROM ("
+            + sql(score_sql(_pool("pop").replace("FROM sess", "FROM seed"), (0.80, 0.05, 0.04, 0.03, 0.08, 0.25, 0.0, 0.0), 10, False))
+            + ") t JOIN cat c ON c.id = t.id JOIN cat s ON s.id = t.q WHERE c.category = s.category",
+        ]
+    ),
+)
+def product_page(spark: SparkSession, d: str) -> DataFrame:
+    """All five rails of a product page for every seed; the last shows what trends in the seed's category."""
+    s, cat, near, vec = seeds(spark, d), catalog(spark, d), G.cooccurrence(events(spark, d)), vectors(spark, d)
+    kind = cat.select("id", "category")
+    trending = K.recommend("trending", s.select("q"), cat).join(kind, "id").join(kind.select(F.col("id").alias("q"), F.col("category").alias("own")), "q")
+    return K.rails(
+        {
+            "frequently_bought_together": K.recommend("frequently_bought_together", s, cat, neighbors=near),
+            "similar_items": K.recommend("similar_items", s, cat, vectors=vec),
+            "because_viewed": K.recommend("because_viewed", s, cat, vectors=vec),
+            "also_bought": K.recommend("also_bought", s, cat, neighbors=near),
+            "trending_in_category": trending.where("category = own"),
+        }
+    )
+
+
 @query("trending_in_category", "SELECT t.* FROM (" + sql(score_sql(_pool("pop"), (0.80, 0.05, 0.04, 0.03, 0.08, 0.25, 0.0, 0.0), 10, False)) + ") t JOIN cat ON cat.id = t.id WHERE cat.category = 'Footwear'")
 def trending_in_category(spark: SparkSession, d: str) -> DataFrame:
     """The trending ten first, then those of the category among them."""
