@@ -218,20 +218,22 @@ def _mapper(entries: dict[str, list[tuple[int, str]]], least: float):
     return run
 
 
-def reference_blocks(reference: DataFrame, block: int) -> list[dict[str, list[tuple[int, str]]]]:
-    """Names and aliases by field of about ``block`` entries each; the rows of one ``ref_id`` stay together."""
+def reference_blocks(reference: DataFrame, block: int) -> Iterator[tuple[dict[str, list[tuple[int, str]]], bool]]:
+    """(names and aliases by field, whether it is the last block), about ``block`` rows at a time; those of one ``ref_id`` stay together.
+
+    There is always a block, if an empty one."""
     ref = reference.select("ref_id", "field", "name", "aliases").where("ref_id is not null and field is not null").orderBy("ref_id")
-    blocks: list[dict[str, list[tuple[int, str]]]] = [defaultdict(list)]
+    names: dict[str, list[tuple[int, str]]] = defaultdict(list)
     n, last = 0, None
     for r in ref.toLocalIterator():
         if n >= block and r["ref_id"] != last:
-            blocks.append(defaultdict(list))
-            n = 0
+            yield dict(names), False
+            names, n = defaultdict(list), 0
         n, last = n + 1, r["ref_id"]
         for name in [r["name"], *(r["aliases"] or [])]:
             if name and name.strip():
-                blocks[-1][r["field"]].append((r["ref_id"], name))
-    return [dict(b) for b in blocks]
+                names[r["field"]].append((r["ref_id"], name))
+    yield dict(names), True
 
 
 def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8, block: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -248,8 +250,8 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8
 
     Every distinct value is matched once, spread over all tasks, and its answer joined
     back (sent to all tasks only where there are at most ``MAX_BROADCAST_ROWS``).  The list
-    goes to the tasks in blocks of ``block`` entries; of several blocks' answers the best
-    by the same rules counts.
+    goes to the tasks in blocks of ``block`` entries, of which the driver holds one at a
+    time; of several blocks' answers the best by the same rules counts.
 
     Null or blank values and null fields give no row.  Entries without a name count by
     their aliases; a field without entries is unmatched.  Texts of any length are
@@ -259,12 +261,14 @@ def map_to_canonical(values: DataFrame, reference: DataFrame, least: float = 0.8
     )
     parts = parallelism(values.sparkSession)
     distinct = rows.select("field", "value").distinct().repartition(parts, "value", "field")
-    blocks = reference_blocks(reference, block)
-    if len(blocks) > 1:
-        distinct = cut(distinct)  # so that it is told once, not once a block
-    answers = [distinct.mapInPandas(_mapper(b, least), MATCHED) for b in blocks]
+    answers: list[DataFrame] = []
+    for entries, last in reference_blocks(reference, block):
+        if not last and not answers:
+            distinct = cut(distinct)  # so that it is told once, not once a block
+        part = distinct.mapInPandas(_mapper(entries, least), MATCHED)
+        answers.append(part if last and not answers else cut(part))  # matched before the next block is fetched
     best = answers[0]
-    if len(blocks) > 1:
+    if len(answers) > 1:
         order = F.array_position(F.array(*map(F.lit, METHODS)), F.col("method"))
         rank = F.struct(order.alias("m"), F.col("length").alias("n"), (-F.col("start")).alias("s"), F.col("likeness").alias("l"), (-F.col("ref_id")).alias("r"))
         best = reduce(DataFrame.unionByName, answers).groupBy("field", "value").agg(F.max(F.struct(rank, "method")).alias("b"))

@@ -52,6 +52,7 @@ _CODE = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2,6})[-/. ]?(\d{3,8})(?![A-Za-z0-
 _CODE_SAID = re.compile(r"(?<![A-Za-z0-9])([A-Za-z]{2,6})[-/.]?(\d{3,8})(?![A-Za-z0-9])")
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W\d_]+|[^\s]")
+_DIGIT = re.compile(r"\d")
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -164,17 +165,27 @@ class Reader:
         def said(names):
             return [attributes[k] for k in names if k in attributes]
 
-        # Facts are taken out of the texts one after another, so that none is read as part of another.
-        texts = [title, description]
-        code = first(_CODE, said(CODE_KEYS), lambda m: (m[1] + m[2]).lower()) or first(_CODE_SAID, texts, lambda m: (m[1] + m[2]).lower())
-        texts = [_CODE_SAID.sub(" ; ", t) for t in texts]
-        gen = first(_GENERATION, [*said(GEN_KEYS), *texts], lambda m: int(m[2]) if m[2] else _ROMAN.get(m[1].lower()) or int(m[1]))
-        texts = [_GENERATION.sub(" ; ", t) for t in texts]
-        pack = first(_PACK, [*said(PACK_KEYS), *texts], lambda m: 2 if m[4] else 6 if m[5] else int(next(g for g in m.groups() if g)))
-        texts = [_PACK.sub(" ; ", t) for t in texts]
+        # Facts are taken out of the texts one after another, so that none is read as part of another;
+        # a text without what every form of a fact needs isn't searched for it.
+        texts, lows = [title, description], [title.lower(), description.lower()]
+        digits = [_DIGIT.search(t) is not None for t in texts]
+        gens = ["gen" in t or "mk" in t or "mark" in t for t in lows]
+        packs = [d and ("pack" in t or " of" in t or "x" in t) or "twin" in t or "half" in t for t, d in zip(lows, digits)]
+
+        def take(pattern, where, stated, value, stated_pattern=None):
+            got = first(stated_pattern or pattern, stated, value)
+            for n, t in enumerate(texts):
+                if where[n]:
+                    got = got or first(pattern, [t], value)
+                    texts[n] = pattern.sub(" ; ", t)
+            return got
+
+        code = take(_CODE_SAID, digits, said(CODE_KEYS), lambda m: (m[1] + m[2]).lower(), _CODE)
+        gen = take(_GENERATION, gens, said(GEN_KEYS), lambda m: int(m[2]) if m[2] else _ROMAN.get(m[1].lower()) or int(m[1]))
+        pack = take(_PACK, packs, said(PACK_KEYS), lambda m: 2 if m[4] else 6 if m[5] else int(next(g for g in m.groups() if g)))
         size = wear = None
-        for text in [*said(SIZE_KEYS), *texts]:
-            got = measures(text)
+        for text, digit in [*((t, True) for t in said(SIZE_KEYS)), *zip(texts, digits)]:
+            got = measures(text) if digit else []
             m = None if got else _WEAR_MARKED.search(text) or _WEAR_BARE.search(text)
             if got:
                 size = got[0]
@@ -182,7 +193,7 @@ class Reader:
                 wear = _WEAR[next(g for g in m.groups() if g).lower()]
             if got or m:
                 break
-        texts = [_MEASURE.sub(" ; ", t) for t in texts]
+        texts = [_MEASURE.sub(" ; ", t) if d else t for t, d in zip(texts, digits)]
         maker, maker_words = self.maker(brand, title, description)
         colour = None
         for text in said(COLOUR_KEYS):

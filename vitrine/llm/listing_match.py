@@ -14,7 +14,7 @@ from vitrine.llm.together import pairs_of_sets
 from vitrine.runtime import MAX_BROADCAST_ROWS, collect_bounded, cut, parallelism
 
 #: Different listings of one token block beyond which the block is cut into cells by the other tokens.
-LARGE_BLOCK = 64
+LARGE_BLOCK = 32
 #: Amounts nearer than this share of the larger one are the same size in other units.
 SAME_AMOUNT = 0.015
 #: A word is usual for a type if this share of the type's listings has it, so many times as many as of the others; it names
@@ -46,9 +46,9 @@ def facts_of(listings: DataFrame, makers: DataFrame, least: float = 0.8, known:
         entries = [(r["ref_id"], n) for r in rows for n in [r["name"], *(r["aliases"] or [])] if n and n.strip()]
         return columns.mapInPandas(read_all(entries, least), FACTS)
     columns = cut(columns)
-    blocks = reference_blocks(makers.withColumn("field", F.lit("brand")), known)
     texts = columns.select("id", "title", "description", "brand")
-    answers = reduce(DataFrame.unionByName, [texts.mapInPandas(answer_all(b.get("brand", []), least), ANSWERS) for b in blocks])
+    blocks = reference_blocks(makers.withColumn("field", F.lit("brand")), known)
+    answers = reduce(DataFrame.unionByName, [cut(texts.mapInPandas(answer_all(b.get("brand", []), least), ANSWERS)) for b, _ in blocks])
     rank = F.struct("mention", "length", (-F.col("start")).alias("s"), "likeness", (-F.col("ref_id")).alias("r"), "names")
     best = answers.groupBy("id", "role").agg(F.max(rank).alias("b"))
     one = F.struct("role", (-F.col("b.r")).alias("ref_id"), F.col("b.names").alias("names"))

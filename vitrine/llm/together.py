@@ -86,9 +86,13 @@ class Counted:
     def largest(self) -> int:
         return max((r["most"] for r in self.basket_classes), default=0)
 
-    def listed(self, rows: DataFrame) -> DataFrame:
-        """A table of at most one row per item, sent to all tasks only where there are few items."""
-        return F.broadcast(rows) if self.n_items <= MAX_BROADCAST_ROWS else rows
+    def often(self, least: int) -> DataFrame:
+        """``(m, n)`` of the items in at least so many baskets, sent to all tasks by joins only where they are few.
+
+        Classes hold whole ranges of degrees, so the sum over them is a bound of the number."""
+        rows = self.items.where(F.col("n") >= least)
+        number = sum(r["num"] for r in self.item_classes if r["most"] >= least)
+        return F.broadcast(rows) if number <= MAX_BROADCAST_ROWS else rows
 
 
 def counted(members: DataFrame) -> Counted:
@@ -110,13 +114,13 @@ def pair_counts(members: DataFrame | Counted, min_count: int = 1, chunk: int = 2
     made; counts are added up in each task before they move.  ``members(s, m)`` must be
     distinct.  An empty input gives no rows."""
     at = members if isinstance(members, Counted) else counted(members)
+    items = at.often(min_count)
     often = at.members
     if min_count > 1:
-        often = often.join(at.listed(at.items.where(F.col("n") >= min_count).select("m")), "m", "left_semi")
+        often = often.join(items.select("m"), "m", "left_semi")
     pairs = pairs_of_sets(often, chunk, at.largest > chunk)
     counts = pairs.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n_ab")).where(F.col("n_ab") >= min_count)
-    one = at.listed(at.items.select(F.col("m").alias("a"), F.col("n").alias("n_a")))
-    two = at.listed(at.items.select(F.col("m").alias("b"), F.col("n").alias("n_b")))
+    one, two = (items.select(F.col("m").alias(c), F.col("n").alias(f"n_{c}")) for c in "ab")
     return counts.join(one, "a").join(two, "b").select(
         F.col("a").alias("item_a"), F.col("b").alias("item_b"), "n_a", "n_b", "n_ab", F.lit(at.baskets).cast("long").alias("n_baskets")
     )
