@@ -56,6 +56,18 @@ def parallelism(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows read from few files laid out for all cores, before a step in Python; those of many files stay as they lie.
+
+    Only what is read straight from files is looked at, as a look at the number of parts
+    would run the shuffles of other plans."""
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "Scan" not in plan:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def collect_bounded(df: DataFrame, limit: int = MAX_BROADCAST_ROWS) -> list | None:
     """All rows of ``df`` on the driver if there are at most ``limit``, else None."""
     rows = df.limit(limit + 1).collect()
