@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from vitrine.llm.folding import ANY, doubled, fold_word, sentences, unleeted
 from vitrine.llm.lexicon import EXCEPTIONS, LEXICON, Entry, phrases_of
+from vitrine.runtime import spread
 
 _RUN = re.compile(rf"{re.escape(ANY)}+")
 KINDS = ("abuse", "hate", "sexual")
@@ -174,12 +175,13 @@ def abuse_scores(documents: DataFrame, key: str = "doc_id", text: str = "text",
     and ``n_hits`` the number of sentences where it reaches ``threshold``.
 
     Null and blank texts score 0; a document sent twice has two rows.  Whole texts are
-    read; there is no shuffle."""
+    read; rows only move where they lie in fewer parts than there are cores."""
     run = F.pandas_udf(
         _scoring(lexicon or LEXICON, EXCEPTIONS if exceptions is None else exceptions, threshold),
         "n_hits int, n_words int, worst double, score double, abuse double, hate double, sexual double",
     )
-    rows = documents.select(F.col(key).alias("k"), F.col("source").alias("src"), run(F.col(text)).alias("s"))
+    texts = spread(documents.select(F.col(key).alias("k"), F.col("source").alias("src"), F.col(text).alias("t")))
+    rows = texts.select("k", "src", run(F.col("t")).alias("s"))
     return rows.select(F.col("k").alias(key), F.col("src").alias("source"), "s.*")
 
 

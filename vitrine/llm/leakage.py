@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vitrine.runtime import cut
+from vitrine.runtime import cut, spread
 
 _TAG = re.compile(r"<[^<>]*>")
 _WORD = re.compile(r"[^\W_]+")
@@ -253,6 +253,7 @@ def leaked(
     texts and null keys match nothing; a repeated item key counts once, with the longest
     text.  Documents are read whole; the same document sent twice gives its rows twice."""
     rows = documents.select(F.col(doc_key).cast("long").alias("doc"), F.col(text).alias("text")).where("doc is not null and text is not null")
+    rows = spread(rows)
     out = None
     for block, last in item_blocks(items, item_key, text, block_words):
         part = rows.mapInPandas(_search(block, seed, gap, passage, least, shard_words), SCHEMA)

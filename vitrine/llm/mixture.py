@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from vitrine.runtime import MAX_BROADCAST_ROWS, cut
+from vitrine.runtime import MAX_BROADCAST_ROWS, cut, spread
 
 DEFAULT_RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How the byte-level vocabulary splits texts before merging (fixed value of the public tokenizer).
@@ -166,7 +166,7 @@ def _solve(counts: DataFrame, tilts: list[Tilt], tolerance: float, rounds: int)
 
 def _counts(documents: DataFrame, key: str, ranks: str) -> DataFrame:
     base = documents.select(F.col(key).alias("doc"), normal_source(F.col("source")).alias("source"), "text")
-    return cut(token_counts(base, "text", ranks).select("doc", "source", "n_tokens"))
+    return cut(token_counts(spread(base), "text", ranks).select("doc", "source", "n_tokens"))
 
 
 def mix(documents: DataFrame, targets: DataFrame, key: str = "doc_id", seed: int = 7, ranks: str = DEFAULT_RANKS) -> tuple[DataFrame, DataFrame]:
