@@ -44,11 +44,12 @@ def with_profile(rows: DataFrame, profiles: DataFrame | None) -> DataFrame:
     return rows.join(p, "q", "left")
 
 
-def score(candidates: DataFrame, catalog: DataFrame, weights: Weights, profiles: DataFrame | None = None) -> DataFrame:
+def score(candidates: DataFrame, catalog: DataFrame, weights: Weights, profiles: DataFrame | None = None, raw: bool = False) -> DataFrame:
     """``(q, id, pool_pos, score, components...)`` of candidates ``(q, id, pool_pos[, retrieval, similarity, cooccurrence, matches])``.
 
     Candidates outside the catalogue drop out.  The penalty is reported as a positive
-    amount and taken off the score."""
+    amount and taken off the score.  ``raw`` leaves rounding the components to ``rounded``,
+    for the few rows of a page."""
     for c in ("retrieval", "similarity", "cooccurrence"):
         if c not in candidates.columns:
             candidates = candidates.withColumn(c, F.lit(0.0))
@@ -70,8 +71,12 @@ def score(candidates: DataFrame, catalog: DataFrame, weights: Weights, profiles:
         "cooccurrence": weights.cooccurrence * F.col("cooccurrence"),
         "repetition_penalty": F.when(F.coalesce(F.array_contains("recent", F.col("id")), F.lit(False)), float(weights.repetition_penalty)).otherwise(0.0),
     }
-    named = rows.select("q", "id", "pool_pos", *[F.round(parts[c], DIGITS).alias(c) for c in COMPONENTS], _total(parts).alias("score"))
-    return named.select("q", "id", "pool_pos", "score", *COMPONENTS)
+    named = rows.select("q", "id", "pool_pos", _total(parts).alias("score"), *[parts[c].alias(c) for c in COMPONENTS])
+    return named if raw else rounded(named)
+
+
+def rounded(scored: DataFrame) -> DataFrame:
+    return scored.withColumns({c: F.round(c, DIGITS) for c in COMPONENTS})
 
 
 def _total(parts: dict[str, Column]) -> Column:
@@ -93,32 +98,46 @@ def affinity_matches(catalog: DataFrame, profiles: DataFrame, weights: Weights,
     A product matches through its category, a tag or its brand, so matches come from
     joins on those keys and no request meets the whole catalogue.
 
-    With ``page``, products that match by their category alone are left out where they
-    can't reach a page of so many: of a category, only the best by the parts of the score
-    that don't depend on the request come along, one page more than the penalty can push
-    off it.  Whatever else the category holds scores no better than these do."""
-    used = [kind for kind, w in (("tag", weights.tag), ("brand", weights.brand)) if w > 0]
+    With ``page``, products that can't reach a page of so many are left out.  Of a category
+    only the best by the parts of the score that don't depend on the request come along,
+    one page more than the penalty can push off it: whatever else matches by its category
+    alone scores no better.  These give every request a score that the page reaches
+    anyway; a product that stays below it even if it matched as well as any could is not
+    met through its tags and brand either."""
+    static = F.round(weights.popularity * F.col("popularity_score") + weights.freshness * F.col("freshness_score"), DIGITS)
+    catalog = catalog.select("id", "ord", "category", "tags", "brand", static.alias("static"))
     pairs = lambda kind: F.transform(F.map_entries(kind), lambda e: F.struct(F.lit(kind).alias("kind"), e["key"].alias("key"), e["value"].alias("value")))
-    wanted_of = lambda entries: profiles.select("q", F.explode(entries).alias("e")).select("q", "e.kind", "e.key", "e.value").where("value > 0")
-    wanted = wanted_of(F.concat(*map(pairs, used)) if used else F.array().cast("array<struct<kind:string,key:string,value:double>>"))
+    exploded = lambda rows, entries, *more: rows.select("q", *more, F.explode(entries).alias("e")).select("q", *more, "e.kind", "e.key", "e.value").where("value > 0")
+    liked = exploded(profiles, pairs("category")).select("q", F.col("key").alias("category"), F.col("value").alias("category_match"))
+    best, below = catalog, F.lit(None).cast("double")
+    if page is not None:
+        reach = page + RECENT_CAP
+        best = catalog.withColumn("place", F.row_number().over(Window.partitionBy("category").orderBy(F.col("static").desc(), "ord"))).where(F.col("place") <= reach)
+    by_category = liked.join(best.select("id", "ord", "category", "static"), "category")
+    if page is not None and weights.category > 0:
+        sure = Window.partitionBy("q").orderBy(F.desc("score"))
+        scored = by_category.select("q", (F.col("static") + weights.category * F.col("category_match")).alias("score"))
+        floor = scored.withColumn("place", F.row_number().over(sure)).where(F.col("place") == reach).select("q", F.col("score").alias("floor"))
+        profiles = profiles.join(floor, "q", "left")
+        most = lambda kind: F.coalesce(F.array_max(F.map_values(kind)), F.lit(0.0))
+        # A little lower, so that rounding leaves nothing out.
+        below = F.col("floor") - 1e-6 - (weights.category * most("category") + weights.tag * most("tag") + weights.brand * most("brand"))
+    used = [kind for kind, w in (("tag", weights.tag), ("brand", weights.brand)) if w > 0]
+    wanted = exploded(profiles.withColumn("below", F.coalesce(below, F.lit(-1e300))), F.concat(*map(pairs, used)) if used else F.array().cast("array<struct<kind:string,key:string,value:double>>"), "below")
     entry = lambda kind, key, share: F.struct(F.lit(kind).alias("kind"), key.alias("key"), share.alias("share"))
     one, each = F.lit(1.0), 1.0 / F.greatest(F.size("tags"), F.lit(1))
     # A tag a product has twice counts twice, as it does in the mean.
     keys = F.concat(F.transform("tags", lambda t: entry("tag", t, each)), F.array(entry("brand", F.col("brand"), one)))
-    offered = catalog.select("id", "ord", "category", F.explode(keys).alias("k")).select("id", "ord", "category", "k.kind", "k.key", "k.share").where("kind <> 'brand' OR key <> ''")
+    offered = catalog.select("id", "ord", "category", "static", F.explode(keys).alias("k")).select("id", "ord", "category", "static", "k.kind", "k.key", "k.share").where("kind <> 'brand' OR key <> ''")
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("value") * F.col("share")).otherwise(0.0)).alias(f"{kind}_match")
-    by_keys = wanted.join(offered, ["kind", "key"]).groupBy("q", "id", "ord", "category").agg(part("tag"), part("brand"))
+    met = wanted.join(offered, ["kind", "key"]).where(F.col("static") >= F.col("below"))
+    by_keys = met.groupBy("q", "id", "ord", "category").agg(part("tag"), part("brand"))
     if weights.category <= 0:
         return by_keys.select("q", "id", "ord", F.lit(0.0).alias("category_match"), "tag_match", "brand_match")
-    liked = wanted_of(pairs("category")).select("q", F.col("key").alias("category"), F.col("value").alias("category_match"))
-    rows = catalog.select("id", "ord", "category", F.round(weights.popularity * F.col("popularity_score") + weights.freshness * F.col("freshness_score"), DIGITS).alias("static"))
-    if page is not None:
-        w = Window.partitionBy("category").orderBy(F.col("static").desc(), "ord")
-        rows = rows.withColumn("place", F.row_number().over(w)).where(F.col("place") <= page + RECENT_CAP)
     none = {"tag_match": F.lit(0.0), "brand_match": F.lit(0.0)}
-    by_category = liked.select("q", "category").join(rows.select("id", "ord", "category"), "category").withColumns(none)
-    both = by_keys.unionByName(by_category).groupBy("q", "id", "ord", "category").agg(F.sum("tag_match").alias("tag_match"), F.sum("brand_match").alias("brand_match"))
-    matched = both.join(liked, ["q", "category"], "left").withColumn("category_match", F.coalesce("category_match", F.lit(0.0)))
+    both = by_keys.unionByName(by_category.select("q", "id", "ord", "category").withColumns(none))
+    summed = both.groupBy("q", "id", "ord", "category").agg(F.sum("tag_match").alias("tag_match"), F.sum("brand_match").alias("brand_match"))
+    matched = summed.join(liked, ["q", "category"], "left").withColumn("category_match", F.coalesce("category_match", F.lit(0.0)))
     return matched.select("q", "id", "ord", "category_match", "tag_match", "brand_match")
 
 
@@ -184,7 +203,7 @@ def recommend(
     else:
         profiles = cut(profiles)
         pool = affinity_pool(requests, catalog, profiles, limit, chosen.weights)
-    return page(score(pool, catalog, chosen.weights, profiles), limit)
+    return rounded(page(score(pool, catalog, chosen.weights, profiles, raw=True), limit))
 
 
 def hybrid(queries: DataFrame, catalog: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
@@ -193,9 +212,9 @@ def hybrid(queries: DataFrame, catalog: DataFrame, vectors: DataFrame, limit: in
 
     width = max(3 * limit, 30)
     asked = queries.where(F.trim("text") != "")
-    docs = catalog.select(F.struct("ord", "id").alias("doc"), S.product_tokens().alias("tokens"))
+    docs = catalog.select(F.col("ord").alias("doc"), S.product_tokens().alias("tokens"))
     kw = R.top_k(R.bm25(docs, asked.select("q", S.tokens(F.col("text")).alias("tokens"))), width)
-    kw = kw.select("q", F.col("doc.id").alias("doc"), "score", "pos")
+    kw = kw.withColumnRenamed("doc", "ord").join(catalog.select("ord", "id"), "ord").select("q", F.col("id").alias("doc"), "score", "pos")
     vec = R.knn(vectors.select(F.col("id").alias("doc"), "ord", "embedding"), asked.where("embedding is not null"), width)
     return R.fuse(kw, vec).withColumnRenamed("doc", "id")
 
@@ -211,11 +230,11 @@ def search(
     weights = weights or RankingConfig().weights
     known = hybrid(queries, catalog, vectors, limit).join(catalog.select("id"), "id", "left_semi")
     kept = R.retrieval_term(R.admitted(known), RETRIEVAL_WEIGHT)
-    scored = score(kept.select("q", "id", F.col("pos").alias("pool_pos"), "retrieval"), catalog, weights, profiles)
+    scored = score(kept.select("q", "id", F.col("pos").alias("pool_pos"), "retrieval"), catalog, weights, profiles, raw=True)
     total = scored.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("q")))
     if category:
         total = total.join(catalog.select("id", F.col("category").alias("cat")), "id").where(F.col("cat") == category).drop("cat")
-    return page(total, limit)
+    return rounded(page(total, limit))
 
 
 def rails(parts: dict[str, DataFrame]) -> DataFrame:

@@ -37,7 +37,9 @@ def bm25_idf(spark: SparkSession, d: str) -> DataFrame:
 
 def _keyword(spark: SparkSession, d: str, k: int = 30) -> DataFrame:
     queries = asked(spark, d).select("q", S.tokens(F.col("text")).alias("tokens"))
-    return R.top_k(R.bm25(_docs(spark, d), queries), k).select("q", F.col("doc.id").alias("doc"), "score", "pos")
+    docs = _docs(spark, d).select(F.col("doc.ord").alias("doc"), "tokens")
+    best = R.top_k(R.bm25(docs, queries), k).withColumnRenamed("doc", "ord")
+    return best.join(catalog(spark, d).select("ord", "id"), "ord").select("q", F.col("id").alias("doc"), "score", "pos")
 
 
 @query("bm25_search", "SELECT q, id AS doc, score, CAST(pos AS INTEGER) AS pos FROM kw")
