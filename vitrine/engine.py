@@ -70,7 +70,5 @@ class Engine:
 
     @staticmethod
     def open(spark: SparkSession, local: str) -> "Engine":
-        import os
-
-        part = lambda n: snapshot.load(spark, local, n) if os.path.isdir(f"{local}/files/{n}") else None
+        part = lambda n: snapshot.load(spark, local, n) if snapshot.has(local, n) else None
         return Engine(part("products"), part("vectors"), neighbors=part("neighbors"), config=snapshot.load_config(local))

@@ -17,11 +17,6 @@ from vitrine.sources import files, snapshot
 from vitrine.streaming import sessions as W
 
 
-def _local(path: str) -> str:
-    """The path of a folder on a file system that the driver has mounted."""
-    return "/" + path.split(":", 1)[1].lstrip("/") if path.startswith("file:") else path
-
-
 @query("files_products", "SELECT row_number() OVER (ORDER BY ord) - 1 AS ord, id, title, description, brand, price, len(tags) AS n_tags FROM cat")
 def files_products(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue as JSON lines, and as read from them."""
@@ -159,13 +154,13 @@ def files_json(spark: SparkSession, d: str) -> DataFrame:
 @query("snapshot_sync", "SELECT id, title, pop AS popularity_score FROM cat")
 def snapshot_sync(spark: SparkSession, d: str) -> DataFrame:
     """The catalogue published twice under growing sequences, synchronised after each, and opened."""
-    root, local = _local(shared_folder(spark, "root")), _local(shared_folder(spark, "local"))
+    root, local = shared_folder(spark, "root"), shared_folder(spark, "local")
     cat = catalog(spark, d)
     snapshot.publish({"products": cat.limit(0)}, root, "v1", 1)
     snapshot.sync(root, local)
     snapshot.publish({"products": cat}, root, "v2", 2)
     snapshot.sync(root, local)
-    return snapshot.load(spark, "file://" + local if not local.startswith("file:") else local, "products").select("id", "title", "popularity_score")
+    return snapshot.load(spark, local, "products").select("id", "title", "popularity_score")
 
 
 _W = {k: v for k, v in vars(DEFAULT_WEIGHTS).items()}
@@ -174,7 +169,7 @@ _W = {k: v for k, v in vars(DEFAULT_WEIGHTS).items()}
 @query("ranking_config", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v}::double)" for k, v in _W.items()) + ") t(name, weight)")
 def ranking_config(spark: SparkSession, d: str) -> DataFrame:
     """The weights of a published snapshot."""
-    root, local = _local(shared_folder(spark, "root")), _local(shared_folder(spark, "local"))
+    root, local = shared_folder(spark, "root"), shared_folder(spark, "local")
     snapshot.publish({}, root, "v1", 1, config=RankingConfig())
     snapshot.sync(root, local)
     return spark.createDataFrame([(k, float(v)) for k, v in vars(snapshot.load_config(local).weights).items()], "name string, weight double")
