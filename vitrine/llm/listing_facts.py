@@ -11,6 +11,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 
 from vitrine.llm.canonical import NOISE, Matcher, name_tokens
 
@@ -270,20 +271,30 @@ def answer_all(entries: list[tuple[int, str]], least: float):
     return run
 
 
+_FACTS_SCHEMA = pa.schema(
+    [
+        ("id", pa.string()), ("leaf", pa.string()), ("above", pa.list_(pa.string())), ("maker", pa.string()), ("size", pa.string()), ("amount", pa.float64()), ("colour", pa.string()),
+        ("pack", pa.int32()), ("gen", pa.int32()), ("code", pa.string()), ("words", pa.list_(pa.string())), ("opened", pa.list_(pa.bool_())), ("branded", pa.list_(pa.bool_())),
+    ]
+)
+
+
 def read_all(entries: list[tuple[int, str]], least: float, resolved: bool = False):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Facts of Arrow batches of listings, as ``FACTS``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = ResolvedReader(least) if resolved else Reader(entries, least)
-        columns = [c.split()[0] for c in FACTS.split(", ")]
-        for pdf in batches:
-            rows = []
-            found = pdf["found"] if resolved else [None] * len(pdf)
-            for i, t, d, b, leaf, above, a, f in zip(pdf["id"], pdf["title"], pdf["description"], pdf["brand"], pdf["leaf"], pdf["above"], pdf["attributes"], found):
+        names = [f.name for f in _FACTS_SCHEMA][3:]
+        for batch in batches:
+            given = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            out: dict[str, list] = {n: [] for n in names}
+            found = given.get("found") or [None] * batch.num_rows
+            for t, d, b, a, f in zip(given["title"], given["description"], given["brand"], given["attributes"], found):
                 if resolved:
-                    reader.resolve([] if f is None else f)
-                rows.append({"id": i, "leaf": leaf, "above": above, **reader.read(t, d, b, [] if a is None else [(x["key"], x["value"]) for x in a])})
-            out = pd.DataFrame(rows, columns=columns)
-            out["pack"], out["gen"] = out["pack"].astype("int32"), out["gen"].astype("int32")
-            out["amount"] = out["amount"].astype("float64")
-            yield out
+                    reader.resolve(f or [])
+                facts = reader.read(t, d, b, [(x["key"], x["value"]) for x in a or ()])
+                for n in names:
+                    out[n].append(facts[n])
+            yield pa.RecordBatch.from_pydict({"id": given["id"], "leaf": given["leaf"], "above": given["above"], **out}, schema=_FACTS_SCHEMA)
 
     return run

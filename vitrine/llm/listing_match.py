@@ -44,7 +44,7 @@ def facts_of(listings: DataFrame, makers: DataFrame, least: float = 0.8, known:
     rows = collect_bounded(makers.where("ref_id is not null").orderBy("ref_id").select("ref_id", "name", "aliases"), known)
     if rows is not None:
         entries = [(r["ref_id"], n) for r in rows for n in [r["name"], *(r["aliases"] or [])] if n and n.strip()]
-        return columns.mapInPandas(read_all(entries, least), FACTS)
+        return columns.mapInArrow(read_all(entries, least), FACTS)
     columns = cut(columns)
     texts = columns.select("id", "title", "description", "brand")
     blocks = reference_blocks(makers.withColumn("field", F.lit("brand")), known)
@@ -53,7 +53,7 @@ def facts_of(listings: DataFrame, makers: DataFrame, least: float = 0.8, known:
     best = answers.groupBy("id", "role").agg(F.max(rank).alias("b"))
     one = F.struct("role", (-F.col("b.r")).alias("ref_id"), F.col("b.names").alias("names"))
     found = best.groupBy("id").agg(F.collect_list(one).cast(FOUND).alias("found"))
-    return columns.join(found, "id", "left").mapInPandas(read_all([], least, resolved=True), FACTS)
+    return columns.join(found, "id", "left").mapInArrow(read_all([], least, resolved=True), FACTS)
 
 
 def listed(rows: DataFrame) -> DataFrame:
