@@ -26,6 +26,7 @@ class Engine:
         self.events = events
         self.neighbors = neighbors if neighbors is not None else (G.cooccurrence(events) if events is not None else None)
         self.config = config or RankingConfig()
+        self._index: R.Index | None = None
 
     def _profile(self, session: str | None) -> DataFrame | None:
         if session is None or self.events is None:
@@ -34,7 +35,9 @@ class Engine:
 
     def search(self, text: str, limit: int = 10, category: str | None = None, session: str | None = None) -> DataFrame:
         asked = self.spark.createDataFrame([("q", text)], "q string, text string").withColumn("embedding", self.encoder(F.col("text")))
-        return K.search(asked, self.catalog, self.vectors, limit, category, self._profile(session), self.config.weights).drop("q")
+        if self._index is None:  # the first search writes it, for all that follow
+            self._index = K.keyword_index(self.catalog, kept=True)
+        return K.search(asked, self.catalog, self.vectors, limit, category, self._profile(session), self.config.weights, self._index).drop("q")
 
     def recommend(self, strategy: str = "for_you", seed: str | None = None, limit: int = 10, session: str | None = None) -> DataFrame:
         request = self.spark.createDataFrame([("q",)], "q string")

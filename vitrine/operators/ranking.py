@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from vitrine.config import RECENT_CAP, RETRIEVAL_WEIGHT, RankingConfig, Strategy, Weights
+from vitrine.functions import scalars as S
 from vitrine.operators import catalog as C
 from vitrine.operators import retrieval as R
 from vitrine.runtime import cut
@@ -206,29 +207,33 @@ def recommend(
     return rounded(page(score(pool, catalog, chosen.weights, profiles, raw=True), limit))
 
 
-def hybrid(queries: DataFrame, catalog: DataFrame, vectors: DataFrame, limit: int = 10) -> DataFrame:
-    """Fused hits ``(q, id, rrf, lexical, semantic, pos)`` for ``queries(q, text, embedding)``; blank queries find nothing."""
-    from vitrine.functions import scalars as S
+def keyword_index(catalog: DataFrame, kept: bool = False) -> R.Index:
+    """The index of the catalogue's texts, documents by their ``ord``; ``kept`` writes it once for several searches."""
+    docs = catalog.select(F.col("ord").alias("doc"), S.product_tokens().alias("tokens"))
+    return R.index(cut(docs) if kept else docs, kept)
+
 
+def hybrid(queries: DataFrame, catalog: DataFrame, vectors: DataFrame, limit: int = 10, index: R.Index | None = None) -> DataFrame:
+    """Fused hits ``(q, id, rrf, lexical, semantic, pos)`` for ``queries(q, text, embedding)``; blank queries find nothing."""
     width = max(3 * limit, 30)
     asked = queries.where(F.trim("text") != "")
-    docs = catalog.select(F.col("ord").alias("doc"), S.product_tokens().alias("tokens"))
-    kw = R.top_k(R.bm25(docs, asked.select("q", S.tokens(F.col("text")).alias("tokens"))), width)
+    kw = R.top_k(R.bm25(index or keyword_index(catalog), asked.select("q", S.tokens(F.col("text")).alias("tokens"))), width)
     kw = kw.withColumnRenamed("doc", "ord").join(catalog.select("ord", "id"), "ord").select("q", F.col("id").alias("doc"), "score", "pos")
     vec = R.knn(vectors.select(F.col("id").alias("doc"), "ord", "embedding"), asked.where("embedding is not null"), width)
     return R.fuse(kw, vec).withColumnRenamed("doc", "id")
 
 
 def search(
-    queries: DataFrame, catalog: DataFrame, vectors: DataFrame, limit: int = 10, category: str | None = None, profiles: DataFrame | None = None, weights: Weights | None = None
+    queries: DataFrame, catalog: DataFrame, vectors: DataFrame, limit: int = 10, category: str | None = None, profiles: DataFrame | None = None, weights: Weights | None = None,
+    index: R.Index | None = None,
 ) -> DataFrame:
-    """The page of a search with ``total``, the number of products that had evidence.
+    """The page of a search with ``total``, the number of products that had evidence; ``index`` is a kept ``keyword_index``.
 
     The category is filtered after ranking: it neither widens retrieval nor changes the total."""
     if not 1 <= limit <= 100:
         raise ValueError("limit must be between 1 and 100")
     weights = weights or RankingConfig().weights
-    known = hybrid(queries, catalog, vectors, limit).join(catalog.select("id"), "id", "left_semi")
+    known = hybrid(queries, catalog, vectors, limit, index).join(catalog.select("id"), "id", "left_semi")
     kept = R.retrieval_term(R.admitted(known), RETRIEVAL_WEIGHT)
     scored = score(kept.select("q", "id", F.col("pos").alias("pool_pos"), "retrieval"), catalog, weights, profiles, raw=True)
     total = scored.withColumn("total", F.count(F.lit(1)).over(Window.partitionBy("q")))
