@@ -27,11 +27,11 @@ class Scorer:
 
         self.auto = ahocorasick.Automaton()
         #: phrase -> what it counts as, once for each kind
-        meaning: dict[str, list[tuple[str, float, bool, int]]] = defaultdict(list)
+        meaning: dict[str, list[tuple[str, float, bool, bool, int]]] = defaultdict(list)
         alone: dict[str, float] = {}
         for n, e in enumerate(lexicon):
             for p in phrases_of(e.phrases):
-                meaning[p].append((e.kind, e.weight, e.context, n))
+                meaning[p].append((e.kind, e.weight, e.context, e.adds, n))
                 if not e.context:
                     alone[p] = max(e.weight, alone.get(p, 0.0))
         for p in phrases_of(exceptions):
@@ -45,7 +45,7 @@ class Scorer:
         self.triggers = {w for p in alone for w in p.split()}
         # Words with one or two letters hidden, told by what is left of them; the most telling words first.
         self.hidden: dict[str, str] = {}
-        telling = {w for p, what in meaning.items() if p in alone or any(e[1] and e[0] == "abuse" for e in what) for w in p.split() if len(w) > 3 or w == p}
+        telling = {w for p, what in meaning.items() if p in alone or any(e[0] == "abuse" for e in what) for w in p.split() if len(w) > 3 or w == p}
         for w in sorted(telling, key=lambda w: (-alone.get(w, 0.0), -len(w), w)):
             for n in (1, 2):
                 if len(w) >= 3 * n:
@@ -108,14 +108,14 @@ class Scorer:
     def sentence(self, words: list[str]) -> dict[str, float]:
         """Weights by kind; of overlapping phrases the longest counts, inside exceptions none.
 
-        A phrase said again adds nothing, of a class that only counts beside another of its
-        kind one phrase of degrading, of addressing and of grouping words each counts."""
+        A phrase said again adds nothing, and of most classes one phrase counts: two nouns that
+        may be insults are no more of one than the first, but an address beside them tells."""
         looked = [self.look(w) for w in words]
         if not any(t for _, t in looked):
             return {}
         text = " " + " ".join(p for p, _ in looked) + " "
         found = sorted((-len(p), end - len(p), what, p) for end, (p, what) in self.auto.iter(text))
-        told: dict[str, float] = {}
+        classes: dict[tuple[str, int], float] = {}
         beside: dict[tuple[str, int], float] = {}
         taken: list[tuple[int, int]] = []
         once: set[str] = set()
@@ -127,11 +127,14 @@ class Scorer:
             if phrase in once:
                 continue
             once.add(phrase)
-            for kind, weight, context, n in what:
+            for kind, weight, context, adds, n in what:
                 if context:
                     beside[kind, n] = weight
                 else:
-                    told[kind] = told.get(kind, 0.0) + weight
+                    classes[kind, n] = weight + (classes.get((kind, n), 0.0) if adds else 0.0)
+        told: dict[str, float] = {}
+        for (kind, _), weight in classes.items():
+            told[kind] = told.get(kind, 0.0) + weight
         for (kind, _), weight in beside.items():
             if kind in told:
                 told[kind] += weight
