@@ -33,8 +33,8 @@ def test_a_task_keeps_k_documents_however_many_match():
     n, batches = 5000, []
     for at in range(0, n, 1000):
         ids = [f"d{i}" for i in range(at, at + 1000)]
-        batches.append(pa.RecordBatch.from_pydict({"doc": ids, "ord": list(range(at, at + 1000)), "tokens": [["the"]] * 1000}))
-    run = best.keywords(pa.array(["a", "b"]), np.array([0, 1, 2]), np.array([0, 0]), np.array([1.0, 2.0]), ["the"], 1.0, 1.5, 0.75, 4, 6, pa.string())
+        batches.append(pa.RecordBatch.from_pydict({"doc": ids, "ord": list(range(at, at + 1000)), "tokens": [["the"]] * 1000, "size": [1] * 1000, "bias": [0.0] * 1000}))
+    run = best.matching(pa.array(["a", "b"]), np.array([0, 1, 2]), np.array([0, 0]), np.array([1.0, 2.0]), ["the"], best.bm25_part(1.5, 0.75, 1.0), 4, 6, pa.string(), 1e-7)
     out = pa.Table.from_batches(list(run(iter(batches))))
     assert sorted(zip(out["q"].to_pylist(), out["ord"].to_pylist())) == [(q, i) for q in "ab" for i in range(4)]
 
@@ -53,3 +53,35 @@ def test_nearest_in_a_task(monkeypatch):
         for i in range(40):
             order = [j for j in np.lexsort((-np.arange(900), -s[i])) if not (exclude and j == i)][:7]
             assert [f"d{j}" for j in order] == [r["doc"] for r in sorted((r for r in out if r["q"] == f"d{i}"), key=lambda r: (-r["score"], r["ord"]))]
+
+
+def test_liked_products_in_blocks_of_profiles(spark):
+    from test_operators import catalog, events
+
+    from vitrine.config import DEFAULT_WEIGHTS
+    from vitrine.operators import profiles as P
+    from vitrine.operators import ranking as K
+
+    rng = random.Random(8)
+    cat = catalog(spark, [(f"p{i:03d}", rng.choice("xyz"), rng.choices(["t", "u", "v", "w"], k=rng.randint(0, 3)), rng.choice(["", "m", "n"]), round(rng.random(), 2), round(rng.random(), 2)) for i in range(300)])
+    log = events(spark, [(f"s{n}", [(f"p{rng.randrange(300):03d}", "cart") for _ in range(1 + n % 4)]) for n in range(9)])
+    prof = P.profiles(log, cat).withColumnRenamed("session", "q")
+    whole = K.affinity_matches(cat, prof, DEFAULT_WEIGHTS).withColumnRenamed("ord", "pool_pos")
+    want = {tuple(r) for r in K.page(K.score(whole, cat, DEFAULT_WEIGHTS), 12).select("q", "id").collect()}
+    for block in (100, 2):
+        got = [tuple(r) for r in K._best_liked(cat, prof, DEFAULT_WEIGHTS, 12, block).collect()]
+        assert len(got) == 9 * 12
+    pages = lambda pool: sorted(map(tuple, K.page(K.score(pool, cat, DEFAULT_WEIGHTS, prof), 5).collect()))
+    some = K.affinity_matches(cat, prof, DEFAULT_WEIGHTS, 5).withColumnRenamed("ord", "pool_pos")
+    assert pages(some) == pages(whole) and len(want) == 9 * 12 and some.groupBy("q").count().agg(F.max("count")).first()[0] <= 55
+
+
+def test_neighbours_of_some_products_only(spark):
+    from vitrine.operators import together as G
+
+    rng = random.Random(9)
+    eng = spark.createDataFrame([(line, f"p{p}", float(rng.randint(1, 9))) for line in range(30) for p in rng.sample(range(40), 8)], "line long, product_id string, w double")
+    of = spark.createDataFrame([("p1",), ("p2",), ("gone",)], "product_id string")
+    want = sorted(map(tuple, G.cosines(eng).where("id IN ('p1', 'p2')").collect()))
+    assert want and want == sorted(map(tuple, G.cosines(eng, of=of).collect()))
+    assert 0 < G.dots(eng, of=of).count() < G.dots(eng).count()
