@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 
 import numpy as np
@@ -93,6 +94,53 @@ def test_centroid_graph_finds_the_nearest():
     assert len(balanced_centroids(np.tile(x[:1], (500, 1)), 10)) == 1
 
 
+def test_passes_agree_and_leave_no_files(spark, monkeypatch):
+    import vitrine.llm.vectors as m
+    from vitrine.runtime import ensure_checkpoint_dir
+
+    rng = np.random.default_rng(8)
+    centers = rng.normal(size=(40, 16))
+    vectors = {f"p{i:04d}": (centers[i % 40] + 0.4 * rng.normal(size=16)).astype(np.float32) for i in range(1500)}
+    vectors |= {f"q{i:04d}": vectors[f"p{i:04d}"] for i in range(30)}  # copies
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "id string, embedding array<float>")
+    sent, found = [], m._found
+
+    def counted(rows, sizes, dim, k):
+        sent.append(int(sizes["q"].sum()))
+        return found(rows, sizes, dim, k)
+
+    monkeypatch.setattr(m, "_found", counted)
+
+    def run():
+        sent.clear()
+        return sorted(map(tuple, nearest(df, 16, 5, list_size=20, sample=200).select("id", "neighbor_id", "pos").collect()))
+
+    monkeypatch.setattr(m, "GROUP_LISTS", 4)
+    whole = run()  # its lists are fitted in the tasks, as the sample is too small for so many
+    want = brute_neighbors(vectors, 5)
+    # Of equal vectors any may be among the last places, so similarities count.
+    x = {i: v / np.linalg.norm(v) for i, v in vectors.items()}
+    hits = sum(x[i] @ x[j] >= x[i] @ x[want[i][-1]] - 1e-6 for i, j, _ in whole)
+    assert len(whole) == 5 * len(vectors) and hits / len(whole) >= 0.95 and len(sent) == 1
+    total = sent[0]
+    monkeypatch.setattr(m, "PASS_ROWS", 1)
+    monkeypatch.setattr(m, "PASS_SHARE", 0.5)
+    assert run() == whole and len(sent) > 3 and sum(sent) == total and max(sent) < total / 2  # no pass sends all at once, together they do
+    # Nothing of what the steps wrote stays; tables of other tests have other names.
+    folder = ensure_checkpoint_dir(spark).removeprefix("file:")
+    assert not [d for d in os.listdir(folder) if d.startswith("vectors-")]
+
+
+def test_cells_of_centroids():
+    x = np.random.default_rng(9).normal(size=(3000, 12)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    graph, best = CentroidGraph(x, cell=16, look=600), np.sort(x[:200] @ x.T, 1)[:, ::-1]
+    ids, sims = graph.search(x[:200], 8)
+    assert graph.cells > 1 and np.abs(sims - np.take_along_axis(x[:200] @ x.T, ids, 1)).max() < 1e-5
+    assert all(len(set(r)) == 8 for r in ids.tolist()) and (sims >= best[:, 7:8] - 1e-5).mean() > 0.95
+    assert CentroidGraph(x[:1]).search(x[:3], 8)[0].tolist() == [[0], [0], [0]]
+
+
 def test_pairs_of_sets_any_size(spark):
     rng = random.Random(6)
     sets = {f"s{k}": rng.sample(range(1000), n) for k, n in enumerate([0, 1, 2, 3, 64, 65, 200])}
