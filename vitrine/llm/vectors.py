@@ -156,7 +156,7 @@ class CentroidGraph:
         else:
             near = q @ self.centers.T
             cells = np.argpartition(near, near.shape[1] - self.cells, 1)[:, -self.cells :]
-            s = np.full((m, self.cells * width), -9, np.float32)
+            s = np.full((m, self.cells, width), -9, np.float32)
             flat = cells.ravel()
             order = np.argsort(flat, kind="stable")
             ends = np.searchsorted(flat[order], np.arange(len(self.at)))
@@ -164,7 +164,8 @@ class CentroidGraph:
                 if ends[k] < ends[k + 1]:
                     row, slot = np.divmod(order[ends[k] : ends[k + 1]], self.cells)
                     first, last = self.at[k], self.at[k + 1]
-                    s[row[:, None], (slot * width)[:, None] + np.arange(last - first)] = q[row] @ self.c[first:last].T
+                    s[row, slot, : last - first] = q[row] @ self.c[first:last].T
+            s = s.reshape(m, -1)
         top = np.argpartition(s, s.shape[1] - beam, 1)[:, -beam:]
         near = np.take_along_axis(s, top, 1)
         sort = np.argsort(-near, 1, kind="stable")
@@ -478,7 +479,8 @@ def _found(rows: DataFrame, sizes: pd.DataFrame, dim: int, k: int) -> DataFrame:
         as_member = split.where("owned").withColumns({"mc": m_cell, "as_member": F.lit(True), "query": F.lit(False)}).withColumn("qc", all_q).select(out)
         as_query = split.withColumns({"qc": q_cell, "as_member": F.lit(False), "query": F.lit(True)}).withColumn("mc", all_m).select(out)
         one = one.join(large, ["region", "grp"], "left_anti").select(out).unionByName(as_member).unionByName(as_query)
-    return one.select(out).groupBy("region", "grp", "mc", "qc").applyInArrow(_best(dim, k), FOUND)
+    # The group first, as rows are sorted by a prefix of the first key.
+    return one.select(out).groupBy("grp", "region", "mc", "qc").applyInArrow(_best(dim, k), FOUND)
 
 
 def _copies(packed: DataFrame, groups: DataFrame) -> DataFrame:
